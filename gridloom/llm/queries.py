@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import mixing, token_count, token_store
+from gridloom.llm import lm_score, mixing, token_count, token_store, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -19,6 +19,22 @@ def op3_mix_sources(spark, sf_dir):
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op4_toxicity(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id",
+        toxicity.held_out(F.col("doc_id")).alias("held_out"),
+        F.col("g_score").alias("score"),
+        (F.col("g_score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op7_lm_score(spark, sf_dir):
+    return lm_score.score(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark, sf_dir):
     return token_count.count_tokens(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
 
@@ -29,6 +45,8 @@ def op9_token_store(spark, sf_dir):
 
 QUERIES = {
     "op3_mix_sources": op3_mix_sources,
+    "op4_toxicity": op4_toxicity,
+    "op7_lm_score": op7_lm_score,
     "op8_token_counts": op8_token_counts,
     "op9_token_store": op9_token_store,
 }
