@@ -7,13 +7,18 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import lm_score, mixing, token_count, token_store, toxicity
+from gridloom.llm import ann, lm_score, mixing, token_count, token_store, toxicity
 
 
 def _read(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark, sf_dir):
+    vectors = _read(spark, sf_dir, "embeddings")
+    return ann.search(ann.build_index(vectors), vectors.where("vec_id % 20 = 0"), k=20)
+
+
 def op3_mix_sources(spark, sf_dir):
     plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -44,6 +49,7 @@ def op9_token_store(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op3_mix_sources": op3_mix_sources,
     "op4_toxicity": op4_toxicity,
     "op7_lm_score": op7_lm_score,
