@@ -257,10 +257,10 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec
     asked = _usable(queries, id_col, vec_col).groupBy("g_id").agg(F.min("g_vec").alias("g_vec")).withColumn("dim", F.size("g_vec"))
     blocks = max(1, -(-asked.count() // block_rows))
     asked = asked.withColumn("block", F.pmod(F.xxhash64("g_id", F.lit("block")), F.lit(blocks)).cast("int"))
-    shards = index.select("shard", "dim")
+    shards = index.select(F.col("shard").alias("g_shard"), F.col("dim").alias("g_dim"))
     n = max(1, index.count())
     # the query set against all shards in blocks: ids of shards are few, a row for each 4096 vectors
-    sent = asked.join(shards, "dim")
+    sent = asked.join(shards, F.col("dim") == F.col("g_dim")).select("g_id", "g_vec", "block", F.col("g_shard").alias("shard"), F.col("g_dim").alias("dim"))
     pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
     def run(key, graphs, queries_):
