@@ -95,7 +95,7 @@ def _encode(path: str, end_id: int, id_type: pa.DataType):
 
     def run(batches):
         encoder = _encoder(path)
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 b = batch.slice(lo, 512)

@@ -14,8 +14,8 @@ import struct
 import regex
 from tokenizers import Tokenizer
 
-#: Pieces that a worker remembers; the memory is emptied when full.
-MEMORY = 400_000
+#: Pieces that a worker remembers at least, and half of what it remembers at most.
+MEMORY = 300_000
 
 #: Characters below U+0300 but for those on whose kind (white space or not) libraries differ.
 #: None of them composes with another, so NFC leaves texts of them alone.
@@ -38,6 +38,8 @@ ALPHABET = _alphabet()
 
 
 def as_bytes_text(piece: str) -> str:
+    if piece.isascii() and piece.isalnum():
+        return piece  # written as it is
     return piece.encode().decode("latin-1").translate(ALPHABET)
 
 
@@ -57,6 +59,32 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(s for s, i in vocab.items() if [t.id for t in model.tokenize(s)] == [i])
 
 
+class Memory(dict):
+    """A dict of two generations: when the young one is full it becomes the old one, so pieces
+    in use stay and the size is bounded. ``make`` gives the value of a piece it doesn't hold."""
+
+    def __init__(self, make, size: int = MEMORY):
+        super().__init__()
+        self.make, self.size, self.old = make, size, {}
+
+    def __missing__(self, piece):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(piece)
+        if value is None:
+            value = self.make(piece)
+        self[piece] = value
+        return value
+
+    def all(self, pieces: list[str]) -> list:
+        found = list(map(self.get, pieces))
+        if None in found:
+            for k in [k for k, v in enumerate(found) if v is None]:
+                found[k] = self[pieces[k]]
+        return found
+
+
 class SpacedCounter:
     """Token counts for a byte-level file whose pre-tokens carry their leading space."""
 
@@ -64,47 +92,27 @@ class SpacedCounter:
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
         self.whole = whole
-        self.after_space: dict[str, int] = {}
-        self.pieces: dict[str, int] = {}
-        self.merged: dict[str, int] = {}
+        self.after_space = Memory(lambda p: self._piece(" " + p))
+        self.pieces = Memory(self._piece)
+        self.merged = Memory(lambda s: len(self.model.tokenize(s)))
 
     def _merge(self, pre_token: str) -> int:
         s = as_bytes_text(pre_token)
-        if s in self.whole:
-            return 1
-        n = self.merged.get(s)
-        if n is None:
-            if len(self.merged) > MEMORY:
-                self.merged.clear()
-            n = self.merged[s] = len(self.model.tokenize(s))
-        return n
+        return 1 if s in self.whole else self.merged[s]
 
     def _piece(self, piece: str) -> int:
         return sum(map(self._merge, _SPACED.findall(piece)))
 
-    def _sum(self, memory: dict[str, int], pieces: list[str], lead: str) -> int:
-        found = list(map(memory.get, pieces))
-        if None in found:
-            if len(memory) > MEMORY:
-                memory.clear()
-            for k, (p, n) in enumerate(zip(pieces, found)):
-                if n is None:
-                    n = memory.get(p)
-                    if n is None:
-                        n = memory[p] = self._piece(lead + p)
-                    found[k] = n
-        return sum(found)
-
     def count(self, text: str) -> int:
         if not text:
             return 0
         if _SPECIAL in text or _UNPROVEN.search(text):
             return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
         if _ODD_SPACE.search(text):
-            return self._sum(self.pieces, _PIECES.findall(text), "")
+            return sum(self.pieces.all(_PIECES.findall(text)))
         # every space stands alone between two solid characters, so pieces end where spaces are
         first, *rest = text.split(" ")
-        return self._piece(first) + self._sum(self.after_space, rest, " ")
+        return self._piece(first) + sum(self.after_space.all(rest))
 
 
 class WordEncoder:
@@ -113,20 +121,17 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Memory(self._word)
+        self.chunks = Memory(self._chunk)
 
     def _word(self, word: str) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            if len(self.words) > MEMORY:
-                self.words.clear()
-            tokens = self.model.tokenize(as_bytes_text(word))
-            ids = self.words[word] = struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
-        return ids
+        tokens = self.model.tokenize(as_bytes_text(word))
+        return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join(map(self._word, _WORDS.findall(chunk)))
+        if chunk.isalpha():
+            return self.words[chunk]
+        return b"".join([self.words[w] for w in _WORDS.findall(chunk)])
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -134,15 +139,4 @@ class WordEncoder:
         if _SPECIAL in text or _UNPROVEN.search(text):
             ids = self.tokenizer.encode(text, add_special_tokens=False).ids
             return struct.pack(f"<{len(ids)}I", *ids)
-        chunks = text.lower().split()
-        found = list(map(self.chunks.get, chunks))
-        if None in found:
-            if len(self.chunks) > MEMORY:
-                self.chunks.clear()
-            for k, (c, ids) in enumerate(zip(chunks, found)):
-                if ids is None:
-                    ids = self.chunks.get(c)
-                    if ids is None:
-                        ids = self.chunks[c] = self._chunk(c)
-                    found[k] = ids
-        return b"".join(found)
+        return b"".join(self.chunks.all(text.lower().split()))
