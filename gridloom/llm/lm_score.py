@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import table
@@ -273,9 +274,12 @@ def score(docs: DataFrame) -> DataFrame:
     training = slim.where("NOT held_out")
     counts = table(count_words(training), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = counts.orderBy(F.desc("c"), "word").limit(HEAD).collect()  # bounded by HEAD
+    # words counted more than ``least`` times are at most HEAD; distinct counts are few, their sum being at most N
+    above = F.sum("n").over(W.orderBy(F.desc("c")).rowsBetween(W.unboundedPreceding, 0))
+    by_count = counts.groupBy("c").agg(F.count("*").alias("n")).withColumn("above", above)
+    least = by_count.where(F.col("above") > HEAD).agg(F.coalesce(F.max("c"), F.lit(0))).first()[0]
+    head = sorted(counts.where(F.col("c") > least).collect(), key=lambda r: (-r.c, bytes(r.word)))  # bounded by HEAD
     vocabulary = Vocabulary([bytes(r.word) for r in head], [r.c for r in head])
-    least = (head[-1].c, bytes(head[-1].word)) if head else (0, b"")
     del head
 
     def shapes(batches):
@@ -337,8 +341,7 @@ def score(docs: DataFrame) -> DataFrame:
         slim.mapInArrow(run, f"doc_id {id_type}, held_out boolean, uid long, n_tokens long, known long, head_log double, lm double, tail array<binary>"), "lm-scores"
     )
     if distinct > len(vocabulary.words):
-        c, w = least
-        rest = counts.where((F.col("c") < c) | ((F.col("c") == c) & (F.col("word") > F.lit(bytearray(w)))))
+        rest = counts.where(F.col("c") <= least)
         tail = scored.select("uid", F.explode("tail").alias("word")).join(rest, "word")
         sums = tail.groupBy("uid").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1)).alias("tail_log"))
         scored = scored.join(sums, "uid", "left")

@@ -7,7 +7,7 @@ import os
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from gridloom.llm import ann, lm_score, mixing, token_count, token_store, toxicity
+from gridloom.llm import ann, decontam, html_extract, licenses, lm_score, mixing, omh_dedup, token_count, token_store, toxicity
 
 
 def _read(spark, sf_dir, name):
@@ -19,6 +19,11 @@ def op1_ann(spark, sf_dir):
     return ann.search(ann.build_index(vectors), vectors.where("vec_id % 20 = 0"), k=20)
 
 
+def op2_licenses(spark, sf_dir):
+    found = licenses.scan(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.round("similarity", 6).alias("similarity"))
+
+
 def op3_mix_sources(spark, sf_dir):
     plan = mixing.mix_plan(_read(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -36,6 +41,15 @@ def op4_toxicity(spark, sf_dir):
     )
 
 
+def op5_decontamination(spark, sf_dir):
+    found = decontam.leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "start", F.round("similarity", 6).alias("similarity"))
+
+
+def op6_html(spark, sf_dir):
+    return html_extract.extract(_read(spark, sf_dir, "pages"))
+
+
 def op7_lm_score(spark, sf_dir):
     return lm_score.score(_read(spark, sf_dir, "documents"))
 
@@ -48,13 +62,21 @@ def op9_token_store(spark, sf_dir):
     return token_store.store_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_near_duplicates(spark, sf_dir):
+    return omh_dedup.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+
+
 QUERIES = {
     "op1_ann": op1_ann,
+    "op2_licenses": op2_licenses,
     "op3_mix_sources": op3_mix_sources,
     "op4_toxicity": op4_toxicity,
+    "op5_decontamination": op5_decontamination,
+    "op6_html": op6_html,
     "op7_lm_score": op7_lm_score,
     "op8_token_counts": op8_token_counts,
     "op9_token_store": op9_token_store,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL = {
