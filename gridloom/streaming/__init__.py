@@ -1,0 +1 @@
+"""Reserved: sparse-matrix operators here are batch queries; none of them is a streaming one."""
