@@ -107,33 +107,47 @@ def edit_distance(a: list, b: list, most: int) -> int | None:
     ids: dict = {}
     x = np.array([ids.setdefault(w, len(ids)) for w in a])
     y = np.array([ids.setdefault(w, len(ids)) for w in b])
-    n, m = len(x), len(y)
-    differ: dict[int, np.ndarray] = {}
-
-    def slide(k: int, i: int) -> int:
-        # the first place from i on at which diagonal k (place in y less place in x) differs
-        if k not in differ:
-            s = max(0, -k)
-            size = min(n, m - k) - s
-            differ[k] = np.append(np.flatnonzero(x[s : s + size] != y[s + k : s + k + size]) + s, s + size)
-        d = differ[k]
-        return int(d[d.searchsorted(i)])
-
-    goal = m - n
-    far = {0: slide(0, 0)}
-    if goal == 0 and far[0] == n:
-        return 0
+    n, m, goal = len(x), len(y), len(b) - len(a)
+    # prefix hashes compare runs of any length at once, so a slide along a diagonal is a binary search
+    power = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, m), _P, np.uint64)]))
+    hx, hy = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(z.astype(np.uint64) + np.uint64(1)) * power[: len(z)])]) for z in (x, y))
+
+    def slide(i: np.ndarray, k: np.ndarray) -> np.ndarray:
+        j = i + k
+        on = np.flatnonzero((i < n) & (j < m))
+        on = on[x[i[on]] == y[j[on]]]
+        if not len(on):
+            return i
+        p, q = i[on], j[on]
+        lo, hi = np.ones(len(on), np.int64), np.minimum(n - p, m - q)
+        while (lo < hi).any():
+            mid = (lo + hi + 1) // 2
+            same = (hx[p + mid] - hx[p]) * power[q] == (hy[q + mid] - hy[q]) * power[p]
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        i = i.copy()
+        i[on] += lo
+        return i
+
+    none = -(10**9)
+    far = np.full(2 * most + 5, none, np.int64)  # diagonal k at k + most + 2
+    mid = most + 2
+    far[mid] = slide(np.zeros(1, np.int64), np.zeros(1, np.int64))[0]
     for e in range(1, most + 1):
-        new = {}
-        for k in range(max(-e, -n), min(e, m) + 1):
-            i = max(far.get(k, -2) + 1, far.get(k - 1, -2), far.get(k + 1, -2) + 1)
-            i = min(i, n, m - k)
-            if i < max(0, -k):
-                continue
-            new[k] = slide(k, i)
-        if new.get(goal, -1) >= n:
-            return e
+        room = most - e  # a diagonal further from the goal than the edits left can't get there
+        k = np.arange(max(-e, -n, goal - room), min(e, m, goal + room) + 1)
+        if not len(k):
+            return None
+        at = k + mid
+        end = np.minimum(n, m - k)  # a step past either end isn't one
+        steps = (far[at], far[at] + 1, far[at - 1], far[at + 1] + 1)
+        i = np.max([np.where(c <= end, c, none) for c in steps], axis=0)
+        bad = i < np.maximum(0, -k)
+        i = slide(np.where(bad, n, i), np.where(bad, m, k))
+        new = np.full_like(far, none)
+        new[at] = np.where(bad, none, i)
         far = new
+        if far[goal + mid] >= n:
+            return e
     return None
 
 
