@@ -189,9 +189,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
             s = [similarity(x.as_py(), y.as_py(), least) for x, y in zip(b.column("x"), b.column("y"))]
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(s, pa.float64())], names=["a", "b", "similarity"])
 
-    both = pairs.join(texts.toDF("raw", "h").select(F.col("h").alias("b"), F.col("raw").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("h").alias("b"), F.col("raw").alias("y")), "b")
     # a leader of a third of all texts: its side is one row, the links' side is split by adaptive skew joins
-    both = both.join(texts.toDF("raw", "h").select(F.col("h").alias("a"), F.col("raw").alias("x")), "a")
+    both = both.join(texts.select(F.col("h").alias("a"), F.col("raw").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary, similarity double").where("similarity IS NOT NULL")
 
 
