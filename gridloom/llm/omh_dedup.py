@@ -1,10 +1,13 @@
 """Near-duplicate documents by order MinHash.
 
-A document is the sequence of its 5-word shingles, each labelled with how often it occurred
+A document is the sequence of its 2-word shingles, each labelled with how often it occurred
 before. Each of ``BANDS`` sketches takes the ``KEPT`` labelled shingles of least hash and
 keeps them in text order, so equal sketches mean that the same shingles came in the same
 order. Texts that share a sketch are candidates; the edit distance of their words, by an
-alignment in the band that the threshold allows, decides.
+alignment in the band that the threshold allows, decides. With every fifth word changed (similarity
+0.8) two texts share about 0.47 of their shingles, so a sketch with probability 0.22 and one of all
+with 0.9997. In short texts a few edits can hit nearly all shingles, so texts that can be linked
+to one of up to ``SHORT`` words have ``SHORT_BANDS`` sketches of single words besides.
 
 Exact copies are one text from the start. Within a bucket the least text leads and is aligned
 with all others; what it isn't linked to gets a new leader, which is aligned with the whole
@@ -24,13 +27,14 @@ from pyspark.sql import functions as F
 
 from gridloom.llm._common import cut, small_enough, table
 
-SHINGLE, BANDS, KEPT, LEAST = 5, 24, 5, 0.8
+SHINGLE, BANDS, KEPT, LEAST = 2, 32, 2, 0.8
+SHORT, SHORT_BANDS = 40, 12
 #: Keys up to this many are broadcast (about 16 bytes each), more are shuffled.
 BROADCAST_KEYS = 200_000
 
 _RNG = np.random.default_rng(10)
-_MULTIPLY = _RNG.integers(0, 2**63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 2**63, BANDS, dtype=np.uint64)
+_MULTIPLY = _RNG.integers(0, 2**63, BANDS + SHORT_BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 2**63, BANDS + SHORT_BANDS, dtype=np.uint64)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64)
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -56,36 +60,49 @@ def word_hashes(raw: bytes) -> np.ndarray:
     return _mix(np.add.reduceat(np.where(solid, _BYTE[b] * powers[at], np.uint64(0)), starts))
 
 
-def sketches(raw: bytes) -> np.ndarray:
-    """``BANDS`` keys; a text without words has the keys of an empty sequence."""
-    w = word_hashes(raw)
-    if not len(w):
-        return np.zeros(BANDS, np.int64)
-    k = min(SHINGLE, len(w))
+def _labelled(w: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of the shingles of ``k`` words, each with the number of its earlier occurrences."""
     n = len(w) - k + 1
     h = np.zeros(n, np.uint64)
     for j in range(k):
         h = _mix(h * _P + w[j : j + n])
     order = np.argsort(h, kind="stable")
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
-    if not new.all():
-        place = np.arange(n)
-        earlier = np.empty(n, np.uint64)
-        earlier[order] = place - np.maximum.accumulate(np.where(new, place, 0))
-        h = _mix(h + earlier * np.uint64(0xD1B54A32D192ED03))
+    place = np.arange(n)
+    earlier = np.empty(n, np.uint64)
+    earlier[order] = place - np.maximum.accumulate(np.where(new, place, 0))
+    # also where nothing repeats: a near copy in which something does must have the same hashes
+    return _mix(h + earlier * np.uint64(0xD1B54A32D192ED03))
+
+
+def _keys(h: np.ndarray, bands: range) -> np.ndarray:
+    """A key for each band: its ``KEPT`` least shingles in text order."""
+    n = len(h)
     most = min(KEPT, n)
-    picked = np.empty((BANDS, most), np.int64)
-    for t in range(BANDS):
+    picked = np.empty((len(bands), most), np.int64)
+    for k, t in enumerate(bands):
         g = (h ^ _ADD[t]) * _MULTIPLY[t]
         g ^= g >> np.uint64(32)
-        picked[t] = np.argpartition(g, most - 1)[:most] if most < n else np.arange(n)
+        picked[k] = np.argpartition(g, most - 1)[:most] if most < n else np.arange(n)
     picked.sort(axis=1)  # back in text order
-    keys = np.arange(BANDS, dtype=np.uint64)
+    keys = np.array(bands, np.uint64)
     for x in h[picked].T:
         keys = _mix(keys * _P + x)
     return keys.view(np.int64)
 
 
+def sketches(raw: bytes) -> np.ndarray:
+    """``BANDS`` keys, and ``SHORT_BANDS`` more of a short text; a text without words has the
+    keys of an empty sequence."""
+    w = word_hashes(raw)
+    if not len(w):
+        return np.zeros(BANDS, np.int64)
+    keys = _keys(_labelled(w, min(SHINGLE, len(w))), range(BANDS))
+    if len(w) * LEAST > SHORT:
+        return keys
+    return np.concatenate([keys, _keys(_labelled(w, 1), range(BANDS, BANDS + SHORT_BANDS))])
+
+
 def edit_distance(a: list, b: list, most: int) -> int | None:
     """Edit distance of two sequences, or None if it is more than ``most``; looks at
     diagonals within ``most`` only."""

@@ -179,6 +179,25 @@ def test_near_duplicates(docs, texts, empty):
     assert kept.columns == docs.columns and kept.count() == len({(r.class_id, None if r.class_id is not None else r.h) for r in rows})
 
 
+def test_near_duplicate_candidates():
+    rng = random.Random(12)
+    for n in (5, 10, 45, 100, 400):
+        for least in (0.8, 0.85, 0.9, 0.95):
+            met = pairs = 0
+            while pairs < 150:
+                a = sentence(rng, n).split()
+                b = list(a)
+                for _ in range(int((1 - least) * n + 1e-9)):
+                    k = rng.randrange(len(b))
+                    rng.choice([lambda: b.__setitem__(k, sentence(rng, 1)), lambda: b.pop(k), lambda: b.insert(k, sentence(rng, 1))])()
+                x, y = " ".join(a).encode(), " ".join(b).encode()
+                if omh_dedup.similarity(x, y) is None:
+                    continue
+                pairs += 1
+                met += any(p == q for p, q in zip(omh_dedup.sketches(x), omh_dedup.sketches(y)))
+            assert met >= 0.98 * pairs, (n, least, met)
+
+
 def test_edit_distance():
     rng = random.Random(0)
 
