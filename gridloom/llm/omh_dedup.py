@@ -9,11 +9,10 @@ alignment in the band that the threshold allows, decides. With every fifth word
 with 0.9997. In short texts a few edits can hit nearly all shingles, so texts that can be linked
 to one of up to ``SHORT`` words have ``SHORT_BANDS`` sketches of single words besides.
 
-Exact copies are one text from the start. Within a bucket the least text leads and is aligned
-with all others; what it isn't linked to gets a new leader, which is aligned with the whole
-bucket again, until every text leads or is linked to a leader. So no pairs are listed, and a
-bucket of near copies costs one alignment each. What this can miss is a link between two
-texts that are linked to different leaders in every bucket they share.
+Exact copies are one text from the start. In each of ``LEADER_ROUNDS`` rounds one text of a
+bucket leads and is aligned with those that aren't in its class yet, so a bucket of near copies
+costs one alignment each. Then every pair of a bucket whose texts are still in different classes
+is aligned, so no candidate that could join two classes is left out. Pairs within a class aren't.
 """
 
 from __future__ import annotations
@@ -29,6 +28,7 @@ from gridloom.llm._common import cut, small_enough, table
 
 SHINGLE, BANDS, KEPT, LEAST = 2, 32, 2, 0.8
 SHORT, SHORT_BANDS = 40, 12
+LEADER_ROUNDS = 2
 #: Keys up to this many are broadcast (about 16 bytes each), more are shuffled.
 BROADCAST_KEYS = 200_000
 
@@ -213,28 +213,35 @@ def _verified(pairs: DataFrame, docs: DataFrame, least: float) -> DataFrame:
 
 
 def links(docs: DataFrame, sketched: DataFrame, least: float = LEAST) -> DataFrame:
-    """Verified links ``a, b, similarity`` between hashes of different texts."""
+    """Verified links ``a, b, similarity`` between hashes of different texts; texts that share a
+    bucket and are similar enough are connected by them, if not by a link of their own."""
     texts = sketched.groupBy("h").agg(F.first("keys").alias("keys"), F.first("words").alias("words"))
     rows = texts.select("h", "words", F.posexplode("keys").alias("band", "key"))
     crowded = rows.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    members = table(rows.join(crowded, ["band", "key"]), "buckets")
-    open_, found = members, None
-    while True:
-        leaders = open_.groupBy("band", "key").agg(F.min(F.struct("h", "words")).alias("lead")).select("band", "key", F.col("lead.h").alias("a"), F.col("lead.words").alias("aw"))
-        near = F.least("words", "aw") >= F.lit(least) * F.greatest("words", "aw") - 1e-9
-        pairs = members.join(leaders, ["band", "key"]).where((F.col("h") != F.col("a")) & near)
+    open_ = table(rows.join(crowded, ["band", "key"]).withColumn("root", F.col("h")), "buckets")
+    near = F.least("words", "aw") >= F.lit(least) * F.greatest("words", "aw") - 1e-9
+    found = tested = None
+    for turn in range(LEADER_ROUNDS + 1):
+        if turn < LEADER_ROUNDS:
+            lead = F.min(F.struct(F.xxhash64("h", F.lit(turn)), "h", "words", "root")).alias("lead")
+            leaders = open_.groupBy("band", "key").agg(lead).select("band", "key", F.col("lead.h").alias("a"), F.col("lead.words").alias("aw"), F.col("lead.root").alias("a_root"))
+            pairs = open_.join(leaders, ["band", "key"]).where((F.col("root") != F.col("a_root")) & near)
+        else:  # by classes first, so that pairs within one aren't listed
+            held = open_.select("band", "key", "root").distinct()
+            apart = held.join(held.withColumnRenamed("root", "a_root"), ["band", "key"]).where("a_root < root")
+            left = open_.select("band", "key", F.col("root").alias("a_root"), F.col("h").alias("a"), F.col("words").alias("aw"))
+            pairs = apart.join(left, ["band", "key", "a_root"]).join(open_, ["band", "key", "root"]).where(near)
         pairs = pairs.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
-        if found is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")  # noqa: F821
-        pairs = cut(pairs)
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         new = table(_verified(pairs, docs, least), "links")
         found = new if found is None else found.unionByName(new)
-        tested = pairs if open_ is members else tested.unionByName(pairs)  # noqa: F821
-        both = found.select("a", "b").union(found.select("b", "a")).toDF("a", "h").withColumn("linked", F.lit(True))
-        left = open_.join(leaders.drop("aw"), ["band", "key"]).where(F.col("h") != F.col("a")).join(both, ["a", "h"], "left_anti")
-        open_ = cut(left.select("h", "words", "band", "key"))
-        if open_.isEmpty():
-            return found
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        if turn < LEADER_ROUNDS:
+            roots = components(found).withColumnRenamed("root", "new_root")
+            open_ = open_.join(roots, "h", "left").withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
+            mixed = open_.groupBy("band", "key").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("band", "key")
+            open_ = table(open_.join(mixed, ["band", "key"]), "open-buckets")
+    return found
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,7 +262,8 @@ def classes(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """``doc_id, h, class_id, links``: a row per row of ``docs``.
 
     ``class_id`` is the least ``doc_id`` of the class, null only if all its ids are null;
-    ``h`` the MD5 of the text; ``links`` the number of verified links of the text.
+    ``h`` the MD5 of the text; ``links`` the number of verified links of the text, which
+    join its class; pairs that others join already aren't aligned and don't count.
     Null texts count as empty, and all texts without words are near copies of each other.
     Repeated rows are in one class; an empty table gives an empty table; other columns are
     ignored.

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gridloom.llm import ann, decontam, html_extract, licenses, lm_score, mixing, omh_dedup, token_count, token_store, tokenizing, toxicity
@@ -198,6 +199,19 @@ def test_near_duplicate_candidates():
             assert met >= 0.98 * pairs, (n, least, met)
 
 
+def test_links_between_texts_of_different_leaders(spark):
+    rng = random.Random(21)
+    data = []
+    for chain in range(24):
+        w = sentence(rng, 132).split()
+        data += [(4 * chain + k, " ".join(w[8 * k : 8 * k + 100]), chain) for k in range(4)]  # 0.84 from one to the next, 0.68 to the one after
+    df = spark.createDataFrame(data, "doc_id long, text string, chain long")
+    raw = F.col("text").cast("binary")
+    one_bucket = df.select("doc_id", F.unhex(F.md5(raw)).alias("h"), F.lit(100).alias("words"), F.array("chain").alias("keys"))
+    roots = omh_dedup.components(omh_dedup.links(df, one_bucket)).collect()
+    assert len(roots) == 96 and len({r.root for r in roots}) == 24
+
+
 def test_edit_distance():
     rng = random.Random(0)
 
