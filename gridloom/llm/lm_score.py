@@ -11,8 +11,9 @@ left of a class goes to unknown words. So the probabilities of all tokens sum to
 
 Counts cover every training document. Word counts are aggregated by Spark; the most frequent
 ``HEAD`` words, bounded by that number, are broadcast, all others are joined by a shuffle.
-Training goes over every document as well: each partition takes steps from common parameters
-on one of ``STRIDE`` positions, then the parameters are averaged, ``ROUNDS`` times.
+Training goes over every token of every document as well: in each of ``ROUNDS`` rounds each
+partition takes steps from common parameters on one of ``ROUNDS`` positions, other ones than in
+the rounds before, then the parameters are averaged.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ HEAD = 200_000
 WORD_CLASSES, SHAPES = 512, 256
 CLASSES = WORD_CLASSES + SHAPES
 DIM, NOISE, BATCH = 24, 96, 512
-STRIDE, ROUNDS, RATE = 4, 2, 0.3
+ROUNDS, RATE = 2, 0.3
 #: Distinct words that a worker counts before it passes the counts on.
 FLUSH = 300_000
 _PUNCTUATION = b".,;:!?\"'()[]{}*-|%&$#"
@@ -188,6 +189,11 @@ def _classes(toks: list[bytes], at: dict, cls: np.ndarray):
     return index, classes, tail
 
 
+def _positions(n: int, turn: int) -> slice:
+    """Positions of a text of ``n`` tokens that train in a round; over all rounds each is taken once."""
+    return slice((turn + n) % ROUNDS, None, ROUNDS)
+
+
 def _train_round(docs: DataFrame, held, key: str, params: Params, share: np.ndarray, turn: int) -> Params:
     spark = docs.sparkSession
     begin = spark.sparkContext.broadcast((params.flat(), share))
@@ -216,7 +222,7 @@ def _train_round(docs: DataFrame, held, key: str, params: Params, share: np.ndar
             for t in b.column(0):
                 _, classes, _ = _classes(tokens(t.as_py()), at, cls)
                 one, two = _contexts(classes)
-                pick = slice((turn + len(classes)) % STRIDE, None, STRIDE)
+                pick = _positions(len(classes), turn)
                 waiting.append((one[pick], two[pick], classes[pick]))
                 if len(waiting) >= 256:
                     steps(64 * BATCH)

@@ -143,6 +143,21 @@ def test_language_model(docs, empty):
     assert lm_score.score(empty).isEmpty()
 
 
+def test_language_model_trains_on_every_token(spark):
+    vocabulary = lm_score.Vocabulary([b"", b"one"], [9, 9])
+    share = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
+    for k, text in enumerate(("", "one")):  # texts of one and two tokens
+        begin = lm_score.Params.start(share)
+        df = spark.createDataFrame([(text,)] * 20, "text string")
+        key = f"every-token-{k}"
+        ends = [lm_score._train_round(df, spark.sparkContext.broadcast(vocabulary), key, begin, share, turn) for turn in range(lm_score.ROUNDS)]
+        for c in range(k + 1):  # a class's bias goes up only where the class is a target
+            word = 1 - c if k else 0
+            assert any(e.b[word] > begin.b[word] for e in ends), (text, word)
+    for n in range(1, 12):
+        assert sorted(i for turn in range(lm_score.ROUNDS) for i in range(n)[lm_score._positions(n, turn)]) == list(range(n))
+
+
 def test_language_model_is_normalised(spark):
     share = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
     p = lm_score.Params.start(share)
