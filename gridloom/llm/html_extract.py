@@ -4,8 +4,8 @@ Markup gives blocks and drops what it names as menu, header, footer and the like
 streams of a host's pages are then joined and their suffixes sorted as far as ``RUN`` tokens;
 runs of at least that many that many distinct pages of the host repeat are boilerplate and
 leave the text, unique runs stay. A page that would lose most of its text is a mirror of
-others and keeps it. Hosts with many pages are cut into shards by a hash, as their template
-shows in every shard.
+others and keeps it. Hosts with many pages are cut into shards by a hash; the numbers of pages
+that have a run are summed over the shards, so runs are judged by the whole host.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm._common import small_enough, table
+from gridloom.llm.omh_dedup import _P, _mix, word_hashes
 
 RUN, SHARD_PAGES = 8, 256
-#: A run is boilerplate if at least so many pages, and so large a share of the shard, have it.
-LEAST_PAGES, LEAST_SHARE, MIRROR = 4, 0.3, 0.5
+#: A run is boilerplate if at least so many distinct pages of the host have it.
+LEAST_PAGES, MIRROR = 3, 0.5
 BROADCAST_HOSTS = 100_000
 
 _DROP = set("nav header footer aside form script style noscript template iframe svg button select textarea menu dialog head title object canvas audio video".split())
@@ -92,8 +93,8 @@ def blocks(page: str) -> list[str]:
     return [t for m, t in out if m or not inside]
 
 
-def covered(pages: list[list[list[str]]], least: int, run: int = RUN) -> list[np.ndarray]:
-    """For each page whether each of its tokens lies in a run that ``least`` distinct pages have."""
+def spreads(pages: list[list[list[str]]], run: int = RUN) -> list[np.ndarray]:
+    """For each page, at each of its tokens, how many distinct pages have the run that starts there."""
     ids: dict[str, int] = {}
     stream, owner = [], []
     for k, blocks_ in enumerate(pages):
@@ -108,37 +109,79 @@ def covered(pages: list[list[list[str]]], least: int, run: int = RUN) -> list[np
     while width < run:  # suffixes by their first 2, 4, 8 tokens
         ahead = np.full(n, -1, np.int64)
         step = min(width, run - width)
-        ahead[: n - step] = rank[step:]
+        ahead[: max(0, n - step)] = rank[step:]
         rank = np.unique(rank * (n + 1) + ahead + 1, return_inverse=True)[1].astype(np.int64)
         width += step
     pair = np.unique(rank * len(pages) + owner_of)
-    spread = np.bincount(pair // len(pages), minlength=rank.max() + 1)
-    starts = np.flatnonzero(spread[rank] >= least)
-    edge = np.zeros(n + run + 1, np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + run, -1)
-    hit = np.cumsum(edge)[:n] > 0
+    spread = np.bincount(pair // len(pages), minlength=rank.max() + 1)[rank]
     cuts = np.flatnonzero(np.array(stream) < 0)
-    return [hit[(cuts[k - 1] + 1 if k else 0) : cuts[k]] for k in range(len(pages))]
+    return [spread[(cuts[k - 1] + 1 if k else 0) : cuts[k]] for k in range(len(pages))]
+
+
+def _within(starts: np.ndarray, run: int) -> np.ndarray:
+    """Tokens that lie in a run that starts at one of the marked tokens."""
+    edge = np.zeros(len(starts) + run + 1, np.int64)
+    at = np.flatnonzero(starts)
+    edge[at] += 1
+    edge[at + run] -= 1
+    return np.cumsum(edge)[: len(starts)] > 0
 
 
-def clean(all_blocks: list[list[str]]) -> list[str]:
-    """Texts of the pages of one shard of a host."""
-    pages = [[b.split(" ") for b in bs] for bs in all_blocks]
-    least = max(LEAST_PAGES, int(np.ceil(LEAST_SHARE * len(pages))))
-    if len(pages) < least:
-        return ["\n\n".join(bs) for bs in all_blocks]
-    out = []
-    for bs, hit in zip(pages, covered(pages, least)):
+def covered(pages: list[list[list[str]]], least: int, run: int = RUN) -> list[np.ndarray]:
+    """For each page whether each of its tokens lies in a run that ``least`` distinct pages have."""
+    return [_within(x >= least, run) for x in spreads(pages, run)]
+
+
+def run_keys(page: list[list[str]], run: int = RUN) -> np.ndarray:
+    """64-bit key of the run that starts at each token from which there are ``run``; alike in all shards."""
+    w = word_hashes(" ".join(t for b in page for t in b).encode("utf-8", "replace"))
+    h = np.zeros(max(0, len(w) - run + 1), np.uint64)
+    for j in range(run if len(h) else 0):
+        h = _mix(h * _P + w[j : j + len(h)])
+    return h.view(np.int64)
+
+
+def _distinct(all_blocks: list[list[str]]) -> tuple[list[list[list[str]]], list[int]]:
+    """Tokens of the distinct pages, and which of them each page is: copies of a page are one."""
+    at: dict[tuple, int] = {}
+    which = [at.setdefault(tuple(bs), len(at)) for bs in all_blocks]
+    return [[b.split(" ") for b in bs] for bs in at], which
+
+
+def shard_runs(all_blocks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of a shard and how many distinct pages of it have each."""
+    pages, _ = _distinct(all_blocks)
+    found = [(k, n[: len(k)]) for k, n in ((run_keys(p), x) for p, x in zip(pages, spreads(pages)))]
+    keys, first = np.unique(np.concatenate([k for k, _ in found]), return_index=True)
+    return keys, np.concatenate([n for _, n in found])[first]
+
+
+def clean(all_blocks: list[list[str]], shared: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
+    """Texts of the pages of a host, or of a shard of it if ``shared`` has the sorted keys and numbers
+    of distinct pages of those runs that are repeated over the whole host."""
+    pages, which = _distinct(all_blocks)
+    texts = []
+    if shared is None:
+        counts = spreads(pages)
+    else:
+        counts = []
+        for p in pages:
+            keys, n = run_keys(p), np.zeros(sum(map(len, p)), np.int64)
+            if len(shared[0]):
+                at = np.minimum(np.searchsorted(shared[0], keys), len(shared[0]) - 1)
+                n[: len(keys)] = np.where(shared[0][at] == keys, shared[1][at], 0)
+            counts.append(n)
+    for p, n in zip(pages, counts):
+        hit = _within(n >= LEAST_PAGES, RUN)
         mirror = len(hit) and hit.mean() > MIRROR
         kept, at = [], 0
-        for b in bs:
+        for b in p:
             own = b if mirror else [t for t, h in zip(b, hit[at : at + len(b)]) if not h]
             at += len(b)
             if own:
                 kept.append(" ".join(own))
-        out.append("\n\n".join(kept))
-    return out
+        texts.append("\n\n".join(kept))
+    return [texts[k] for k in which]
 
 
 def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
@@ -159,10 +202,35 @@ def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     parsed = table(slim.mapInArrow(run, f"page_id {kinds['page_id']}, url string, host string, blocks array<string>"), "page-blocks")
     hosts = parsed.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards"))
     hosts = F.broadcast(hosts) if small_enough(hosts, BROADCAST_HOSTS) else hosts
-    placed = parsed.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.col("shards")).cast("int")).drop("shards")
+    # by content: copies of a page meet in one shard, where they count once
+    placed = parsed.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("blocks"), F.col("shards")).cast("int"))
 
-    def group(t):
-        texts = clean(t.column("blocks").to_pylist())
+    def texts_of(t, shared=None):
+        texts = clean(t.column("blocks").to_pylist(), shared)
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
-    return placed.groupBy("host", "shard").applyInArrow(group, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    def group(t):
+        return texts_of(t)
+
+    result = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
+    whole = placed.where("shards = 1").groupBy("host", "shard").applyInArrow(group, result)
+    large = hosts.where("shards > 1")
+    if large.isEmpty():
+        return whole
+
+    def count(t):
+        keys, n = shard_runs(t.column("blocks").to_pylist())
+        return pa.table({"host": pa.array([t.column("host")[0].as_py()] * len(keys), pa.string()), "key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    def part(t, runs):
+        if not t.num_rows:
+            return texts_of(t)
+        keys, n = runs.column("key").to_numpy(), runs.column("n").to_numpy()
+        order = np.argsort(keys)
+        return texts_of(t, (keys[order], n[order]))
+
+    parts = placed.where("shards > 1").drop("shards")
+    counted = parts.groupBy("host", "shard").applyInArrow(count, "host string, key long, n long")
+    repeated = table(counted.groupBy("host", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES), "repeated-runs")
+    everywhere = repeated.join(large, "host").select("host", "key", "n", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    return whole.unionByName(parts.groupBy("host", "shard").cogroup(everywhere.groupBy("host", "shard")).applyInArrow(part, result))

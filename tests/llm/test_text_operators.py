@@ -279,6 +279,17 @@ def test_html(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
 
 
+def test_html_runs_of_the_whole_host(spark):
+    notice = "<div>this section is closed until the new hall opens again next spring</div>"
+    rows = [(k, f"http://d/{k}", f"{notice if k % 10 == 0 else ''}<div>{sentence(random.Random(k), 30)}</div>", "z") for k in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
+    for shard_pages in (256, 7):  # one shard, and nine of which none has the notice often
+        text = {r.page_id: r.text for r in html_extract.extract(df, shard_pages).collect()}
+        assert all(text[k] == sentence(random.Random(k), 30) for k in range(60)) and len(text) == 60
+    copies = spark.createDataFrame([(k, f"http://e/{k}", f"<div>{sentence(random.Random(1), 30)}</div>", "z") for k in range(5)], df.schema)
+    assert {r.text for r in html_extract.extract(copies, 2).collect()} == {sentence(random.Random(1), 30)}
+
+
 def test_repeated_runs_brute_force():
     rng = random.Random(4)
     pages = [[[rng.choice("abc") for _ in range(40)]] for _ in range(6)]
