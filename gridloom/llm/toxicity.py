@@ -25,6 +25,8 @@ from gridloom.llm.tokenizing import Memory
 
 #: Bounds of the training sample: documents of each label, and bytes of text in all.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_BYTES = 1200, 2400, 16_000_000
+#: Longer labelled texts don't train, so that one of them can't take the place of all others.
+LONGEST_BYTES = 250_000
 #: A feature needs this many toxic documents, this log-likelihood ratio, and a share among toxic
 #: documents this many times that among clean ones.
 LEAST_DOCS, LEAST_RATIO, LEAST_LIFT, MOST_FEATURES = 4, 18.0, 6.0, 20_000
@@ -168,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     The sample is bounded by ``SAMPLE_TOXIC``, ``SAMPLE_CLEAN`` and ``SAMPLE_BYTES``, drawn by
     a hash of the id. Labels other than 0 and 1 and null ids are ignored; a document with
-    both labels counts as toxic; null texts are ignored.
+    both labels counts as toxic; null texts and those over ``LONGEST_BYTES`` are ignored.
     """
     clean = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").alias("g_id")).agg(F.max("toxic").alias("g_toxic"))
     drawn = [clean.where(F.col("g_toxic") == y).orderBy(F.xxhash64("g_id"), "g_id").limit(n) for y, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN))]
@@ -176,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     slim = docs.select(F.col("doc_id").alias("g_id"), F.col("text").alias("g_text")).where(F.col("g_text").isNotNull())
     found = slim.join(ids, "g_id").withColumn("g_size", F.octet_length("g_text"))
     order = W.orderBy(F.xxhash64("g_id"), "g_id", "g_size", F.xxhash64("g_text")).rowsBetween(W.unboundedPreceding, 0)
+    found = found.where(F.col("g_size") <= LONGEST_BYTES)
     within = found.withColumn("g_sum", F.sum("g_size").over(order)).where(F.col("g_sum") <= SAMPLE_BYTES)
     rows = within.select("g_id", "g_text", "g_toxic").collect()
     rows.sort(key=lambda r: (r.g_id, r.g_text))

@@ -131,6 +131,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.score(empty, toxicity.train(empty, spark.createDataFrame([], "doc_id long, toxic int"))).isEmpty()
 
 
+def test_toxicity_with_one_huge_labelled_text(spark):
+    ids = [r.id for r in spark.range(300).where(~toxicity.held_out(F.col("id"))).orderBy(F.xxhash64("id")).collect()]
+    rng = random.Random(6)
+    data = [(k, f"{sentence(rng, 8)}. {'grumbler' if k % 2 else 'friend'} {sentence(rng, 4)}.") for k in ids[1:]] + [(ids[0], "calm words. " * 1_500_000)]
+    labels = [(k, k % 2) for k in ids[1:]] + [(ids[0], 0)]
+    model = toxicity.train(spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    probe = spark.createDataFrame([(1, "you grumbler"), (2, "my friend")], "doc_id long, text string")
+    assert {r.doc_id: r.g_score >= 0.5 for r in toxicity.score(probe, model).collect()} == {1: True, 2: False}
+
+
 def test_language_model(docs, empty):
     rows = lm_score.score(docs).collect()
     data = [(r.doc_id, lm_score.tokens(r.text)) for r in docs.collect()]
