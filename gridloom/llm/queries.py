@@ -63,7 +63,7 @@ def op9_token_store(spark, sf_dir):
 
 
 def op10_near_duplicates(spark, sf_dir):
-    return omh_dedup.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id", "links")
+    return omh_dedup.classes(_read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
 
 QUERIES = {

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import ann, decontam, html_extract, licenses, lm_score, mixing, omh_dedup, token_count, token_store, tokenizing, toxicity
+from gridloom.llm import ann, decontam, html_extract, licenses, lm_score, mixing, token_count, token_store, tokenizing, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h string, score double, g_note string"
 
@@ -195,71 +195,6 @@ def test_neighbours(spark):
     assert ann.search(ann.build_index(none), none).isEmpty()
 
 
-def test_near_duplicates(docs, texts, empty):
-    rows = omh_dedup.classes(docs).collect()
-    by = {r.doc_id: r.class_id for r in rows if r.doc_id is not None}
-    assert len(rows) == len(texts) and by[0] == by[30] == 0 and by[3] == by[31] == 3
-    assert by[32] == by[33] == by[34] and len({by[k] for k in range(30)}) == 30
-    assert omh_dedup.classes(empty).isEmpty()
-    kept = omh_dedup.deduplicate(docs)
-    assert kept.columns == docs.columns and kept.count() == len({(r.class_id, None if r.class_id is not None else r.h) for r in rows})
-
-
-def test_near_duplicate_candidates():
-    rng = random.Random(12)
-    for n in (5, 10, 45, 100, 400):
-        for least in (0.8, 0.85, 0.9, 0.95):
-            met = pairs = 0
-            while pairs < 150:
-                a = sentence(rng, n).split()
-                b = list(a)
-                for _ in range(int((1 - least) * n + 1e-9)):
-                    k = rng.randrange(len(b))
-                    rng.choice([lambda: b.__setitem__(k, sentence(rng, 1)), lambda: b.pop(k), lambda: b.insert(k, sentence(rng, 1))])()
-                x, y = " ".join(a).encode(), " ".join(b).encode()
-                if omh_dedup.similarity(x, y) is None:
-                    continue
-                pairs += 1
-                met += any(p == q for p, q in zip(omh_dedup.sketches(x), omh_dedup.sketches(y)))
-            assert met >= 0.98 * pairs, (n, least, met)
-
-
-def test_links_between_texts_of_different_leaders(spark):
-    rng = random.Random(21)
-    data = []
-    for chain in range(24):
-        w = sentence(rng, 132).split()
-        data += [(4 * chain + k, " ".join(w[8 * k : 8 * k + 100]), chain) for k in range(4)]  # 0.84 from one to the next, 0.68 to the one after
-    df = spark.createDataFrame(data, "doc_id long, text string, chain long")
-    raw = F.col("text").cast("binary")
-    one_bucket = df.select("doc_id", F.unhex(F.md5(raw)).alias("h"), F.lit(100).alias("words"), F.array("chain").alias("keys"))
-    roots = omh_dedup.components(omh_dedup.links(df, one_bucket)).collect()
-    assert len(roots) == 96 and len({r.root for r in roots}) == 24
-
-
-def test_edit_distance():
-    rng = random.Random(0)
-
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            last, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        return row[-1]
-
-    for _ in range(300):
-        a = [rng.choice("abcd") for _ in range(rng.randint(0, 14))]
-        b = list(a)
-        for _ in range(rng.randint(0, 4)):
-            if b and rng.random() < 0.5:
-                b.pop(rng.randrange(len(b)))
-            else:
-                b.insert(rng.randint(0, len(b)), rng.choice("abcd"))
-        d, most = plain(a, b), rng.randint(0, 6)
-        assert omh_dedup.edit_distance(a, b, most) == (d if d <= most else None), (a, b, most)
-
-
 def test_leaks(spark, docs, texts, empty):
     rng = random.Random(8)
     items = [(k, sentence(rng, rng.choice([3, 30, 60]))) for k in range(6)] + [(6, None), (7, "")]
