@@ -267,7 +267,8 @@ def _apart(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def links(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
     """``t, root`` for the texts that were found similar to others: texts with one root are
     connected by verified links. ``texts`` has a row ``t, h, words, bins, keys`` for each text."""
-    rows = texts.select("t", "words", F.explode("keys").alias("key"))
+    keyed = texts.select("t", F.explode("keys").alias("key"))
+    words = texts.select("t", "words")
 
     def led(rows, turn):
         """Rows of buckets in which two classes meet, with the text that leads: ``a, aw, a_root``."""
@@ -275,8 +276,13 @@ def links(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
         leaders = rows.groupBy("key").agg(lead.alias("lead"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
         return rows.join(leaders.select("key", F.col("lead.t").alias("a"), F.col("lead.words").alias("aw"), F.col("lead.root").alias("a_root")), "key")
 
+    # all keys of all texts are shuffled as two numbers; the least text leads first
+    leaders = keyed.groupBy("key").agg(F.min("t").alias("a"), F.max("t").alias("high")).where("a <> high").select("key", "a")
+    met = table(keyed.join(leaders, "key"), "met")
+    open_ = met.join(words, "t").join(words.toDF("a", "aw"), "a").select("key", "t", "words", F.col("t").alias("root"), "a", "aw", F.col("a").alias("a_root"))
+    open_ = table(open_, "buckets")
     near = F.least("words", "aw") >= F.lit(least) * F.greatest("words", "aw") - 1e-9
-    open_, roots = table(led(rows.withColumn("root", F.col("t")), 0), "buckets"), None
+    roots = None
     for turn in range(LEADER_ROUNDS + 1):
         if turn < LEADER_ROUNDS:
             votes = open_.where((F.col("root") != F.col("a_root")) & near).groupBy("t", "root", "a", "a_root").agg(F.count("*").alias("n"))

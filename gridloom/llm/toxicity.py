@@ -11,6 +11,7 @@ word ends marked, so inflected and unseen forms of a stem score too.
 from __future__ import annotations
 
 import dataclasses
+import pickle
 import re
 from itertools import repeat
 
@@ -180,9 +181,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     order = W.orderBy(F.xxhash64("g_id"), "g_id", "g_size", F.xxhash64("g_text")).rowsBetween(W.unboundedPreceding, 0)
     found = found.where(F.col("g_size") <= LONGEST_BYTES)
     within = found.withColumn("g_sum", F.sum("g_size").over(order)).where(F.col("g_sum") <= SAMPLE_BYTES)
-    rows = within.select("g_id", "g_text", "g_toxic").collect()
-    rows.sort(key=lambda r: (r.g_id, r.g_text))
-    return fit([r.g_text for r in rows], [r.g_toxic for r in rows])
+    def run(batches):
+        rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns)))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], names=["model"])
+
+    # in one task: SAMPLE_BYTES bound what it holds, and the driver gets the model alone
+    fitted = within.select("g_id", "g_text", "g_toxic").coalesce(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(fitted[0].model) if fitted else fit([], [])
 
 
 _WORKER: dict[int, tuple] = {}
