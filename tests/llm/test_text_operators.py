@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import ann, decontam, html_extract, licenses, lm_score, mixing, token_count, token_store, tokenizing, toxicity
+from gridloom.llm import ann, html_extract, licenses, lm_score, mixing, token_count, token_store, tokenizing, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h string, score double, g_note string"
 
@@ -195,22 +195,6 @@ def test_neighbours(spark):
     assert ann.search(ann.build_index(none), none).isEmpty()
 
 
-def test_leaks(spark, docs, texts, empty):
-    rng = random.Random(8)
-    items = [(k, sentence(rng, rng.choice([3, 30, 60]))) for k in range(6)] + [(6, None), (7, "")]
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    long = [t for _, t in items[:6] if len(t.split()) >= 30]
-    changed = long[0].split()
-    changed[-1] = "other"
-    planted = [f"{sentence(rng, 50)} {long[0].upper()}, {sentence(rng, 10)}", sentence(rng, 20) + " " + " ".join(changed), long[-1], " ".join(long[0].split()[:12]) + " " + sentence(rng, 40)]
-    df = docs.unionByName(spark.createDataFrame(rows_of(planted, [101, 102, 103, 104]), SCHEMA))
-    got = {r.doc_id: r.similarity for r in decontam.leaks(df, bench).collect()}
-    assert {101, 102, 103} <= set(got) and 104 not in got and not set(got) & set(range(30)) and got[101] == 1.0 and got[102] < 1
-    left = decontam.decontaminate(df, bench)
-    assert left.columns == df.columns and left.count() == df.where(~df.doc_id.isin(*[k for k in got])).count() + df.where("doc_id IS NULL").count()
-    assert decontam.leaks(empty, bench).isEmpty() and decontam.leaks(df, bench.limit(0)).isEmpty()
-
-
 def test_html(spark):
     art = "<article><h1>Title &amp; more</h1><p>Some  <b>bold</b>\n text</p><form>no</form><div class='comments'><p>reader</p></div><p>end</p></article>"
     page = f"<html><head><title>t</title></head><body><nav>menu</nav>{art}<aside>side</aside><footer>foot</footer></body></html>"
