@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,32 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks. One thing at a time: workers outlive a query,
+    so what another operator kept is dropped."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def lean(run):
+    """A function for ``mapInArrow`` after which the worker hands free memory back to the system."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not glibc
+            pass
+
+    return wrapped
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; null and blank texts give an empty array."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import cut, small_enough, table
+from gridloom.llm._common import cut, lean, small_enough, table
 
 SHINGLE, BANDS, KEPT, LEAST = 3, 80, 2, 0.8
 SHORT, SHORT_BANDS, SHORT_KEPT = 50, 24, 3
@@ -179,7 +179,7 @@ def _sketched(docs: DataFrame) -> DataFrame:
             cols = [pa.array([len(w) for w in hashes], pa.int32()), pa.array([bins(w).tobytes() for w in hashes], pa.binary()), pa.array([sketches(w) for w in hashes], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), *cols], names=["doc_id", "h", "words", "bins", "keys"])
 
-    return slim.mapInArrow(run, "doc_id long, h binary, words int, bins binary, keys array<long>")
+    return slim.mapInArrow(lean(run), "doc_id long, h binary, words int, bins binary, keys array<long>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, least: float) -> DataFrame:
@@ -210,7 +210,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, docs: DataFrame, least: float)
 
     # a leader of a third of all texts: its side is one row, the other's is split by adaptive skew joins
     both = pairs.join(raw.select(F.col("t").alias("b"), F.col("raw").alias("y")), "b").join(raw.select(F.col("t").alias("a"), F.col("raw").alias("x")), "a")
-    return both.select("a_root", "b_root", "x", "y").mapInArrow(run, "a_root long, b_root long")
+    return both.select("a_root", "b_root", "x", "y").mapInArrow(lean(run), "a_root long, b_root long")
 
 
 def _meetings(least: float):
@@ -261,7 +261,7 @@ def _apart(rows: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     own = F.when(F.col("mine") == F.col("facing"), 2).when(F.col("mine") < F.col("facing"), 0).otherwise(1)
     placed = placed.select("key", F.least("mine", "facing").alias("part"), F.greatest("mine", "facing").alias("other"), "t", "root", "words", "bins", own.alias("own"))
     ordered = placed.repartition("key", "part", "other").sortWithinPartitions("key", "part", "other")
-    return ordered.mapInArrow(_meetings(least), "a long, b long, a_root long, b_root long").distinct()
+    return ordered.mapInArrow(lean(_meetings(least)), "a long, b long, a_root long, b_root long").distinct()
 
 
 def links(docs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import drop_path, scratch
+from gridloom.llm._common import drop_path, held, lean, scratch
 from gridloom.llm.tokenizing import WordEncoder
 
 WINDOW = 16
@@ -121,13 +121,8 @@ def _encode(path: str, end_id: int, id_type: pa.DataType):
     return run
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def _encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return held(("word encoder", path), lambda: WordEncoder(path))
 
 
 def _roots(kind: int, leaf: str, count: str):
@@ -163,7 +158,7 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     slim = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = slim.mapInArrow(_encode(tokenizer_path, end_id, pa.int64()), "kind int, doc_id long, key binary, n long, payload binary")
+    rows = slim.mapInArrow(lean(_encode(tokenizer_path, end_id, pa.int64())), "kind int, doc_id long, key binary, n long, payload binary")
     # chunks meet by key and recipes by themselves in one shuffle; each distinct one stays once
     objects = f"{path}/objects"
     (

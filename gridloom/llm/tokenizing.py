@@ -121,7 +121,6 @@ class WordEncoder:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.model = self.tokenizer.model
-        self.words = Memory(self._word)
         self.chunks = Memory(self._chunk)
 
     def _word(self, word: str) -> bytes:
@@ -129,9 +128,8 @@ class WordEncoder:
         return struct.pack(f"<{len(tokens)}I", *[t.id for t in tokens])
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isalpha():
-            return self.words[chunk]
-        return b"".join([self.words[w] for w in _WORDS.findall(chunk)])
+        words = [chunk] if chunk.isalpha() else _WORDS.findall(chunk)
+        return self._word(chunk) if words == [chunk] else b"".join([self.chunks[w] for w in words])
 
     def encode(self, text: str) -> bytes:
         if not text:

@@ -13,6 +13,7 @@ from __future__ import annotations
 import dataclasses
 import pickle
 import re
+from array import array
 from itertools import repeat
 
 import numpy as np
@@ -22,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from gridloom.llm._common import held, lean
 from gridloom.llm.tokenizing import Memory
 
 #: Bounds of the training sample: documents of each label, and bytes of text in all.
@@ -32,6 +34,8 @@ LONGEST_BYTES = 250_000
 #: documents this many times that among clean ones.
 LEAST_DOCS, LEAST_RATIO, LEAST_LIFT, MOST_FEATURES = 4, 18.0, 6.0, 20_000
 NGRAMS = (4, 5, 6)
+#: Words whose weights a worker remembers at least, and half of those at most.
+WORDS = 100_000
 
 _MARKS = re.compile(r"[.!?\n]+")
 _END = b"\x00"
@@ -131,7 +135,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 400, decay: float = 1
     names = _select([set(d) - {_END} for d in docs], y)
     at = {f: k for k, f in enumerate(names)}
     word_features: dict[bytes, list[int]] = {}
-    sent, feat, doc_of, n_sent = [], [], [], 0
+    sent, feat, doc_of, n_sent = array("l"), array("l"), array("l"), 0
     for d, words in enumerate(docs):
         filled = False
         for w in [*words, _END]:
@@ -186,19 +190,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit([r[1] for r in rows], [r[2] for r in rows]))], pa.binary())], names=["model"])
 
     # in one task: SAMPLE_BYTES bound what it holds, and the driver gets the model alone
-    fitted = within.select("g_id", "g_text", "g_toxic").coalesce(1).mapInArrow(run, "model binary").collect()
+    fitted = within.select("g_id", "g_text", "g_toxic").coalesce(1).mapInArrow(lean(run), "model binary").collect()
     return pickle.loads(fitted[0].model) if fitted else fit([], [])
 
 
-_WORKER: dict[int, tuple] = {}
-
-
-def _memory(held, key: int) -> tuple[Model, Memory]:
-    if key not in _WORKER:
-        _WORKER.clear()
-        model = held.value
-        _WORKER[key] = model, Memory(model.word)
-    return _WORKER[key]
+def _memory(model, key: int) -> tuple[Model, Memory]:
+    return held(("toxicity", key), lambda: (model.value, Memory(model.value.word, WORDS)))
 
 
 def _sentence_scores(text: str, model: Model, memory: Memory) -> np.ndarray:
@@ -218,12 +215,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with ``g_score``: 1 - product over sentences of (1 - p). Null and blank texts
     score 0; repeated rows are scored each; an empty table stays empty; other columns pass
     through untouched. One pass without a shuffle."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     key = hash(repr(sorted(model.weights.items())) + repr(model.bias))
     at = docs.columns.index("text")
 
     def run(batches):
-        model, memory = _memory(held, key)
+        model, memory = _memory(sent, key)
         for b in batches:
             out = []
             for t in b.column(at).to_pylist():
@@ -231,17 +228,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 out.append(float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-15)).sum())) if len(p) else 0.0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.float64())], schema=b.schema.append(pa.field("g_score", pa.float64())))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("g_score", DoubleType())]))
+    return docs.mapInArrow(lean(run), StructType([*docs.schema.fields, StructField("g_score", DoubleType())]))
 
 
 def locate(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """Offending sentences: ``doc_id, sentence`` (number from 0 among those with words),
     ``begin, end`` (code points), ``text, score``, for scores of ``least`` or more."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(model)
     key = hash(repr(sorted(model.weights.items())) + repr(model.bias))
 
     def run(batches):
-        model, memory = _memory(held, key)
+        model, memory = _memory(sent, key)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
