@@ -1,11 +1,13 @@
 """Main text of web pages with a suffix array per host.
 
-Markup gives blocks and drops what it names as menu, header, footer and the like. The token
-streams of a host's pages are then joined and their suffixes sorted as far as ``RUN`` tokens;
-runs of at least that many that many distinct pages of the host repeat are boilerplate and
-leave the text, unique runs stay. A page that would lose most of its text is a mirror of
-others and keeps it. Hosts with many pages are cut into shards by a hash; the numbers of pages
-that have a run are summed over the shards, so runs are judged by the whole host.
+Markup gives blocks. What it names as menu, footer, advert, comment and the like is left out, and
+where article or main elements hold at least half of the other words, they are the text, whole.
+On all other pages the text is found by repetition: the token streams of a host's pages are
+joined and their suffixes sorted as far as ``RUN`` tokens, which tells every substring of at
+least that many that is repeated; what such substrings on ``LEAST_PAGES`` distinct pages cover
+is boilerplate and leaves the text, unique runs stay. Hosts with many pages are cut into
+shards by a hash; the numbers of pages that have a run are summed over the shards, so runs are
+judged by the whole host.
 """
 
 from __future__ import annotations
@@ -18,33 +20,47 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import small_enough, table
+from gridloom.llm._common import lean, small_enough, table
 from gridloom.llm.omh_dedup import _P, _mix, word_hashes
 
 RUN, SHARD_PAGES = 8, 256
 #: A run is boilerplate if at least so many distinct pages of the host have it.
-LEAST_PAGES, MIRROR = 3, 0.5
+LEAST_PAGES = 3
 BROADCAST_HOSTS = 100_000
 
-_DROP = set("nav header footer aside form script style noscript template iframe svg button select textarea menu dialog head title object canvas audio video".split())
+_DROP = set("nav footer aside form script style noscript template iframe svg button select textarea menu dialog head title object canvas audio video".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_BLOCK = set("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr td th thead tbody tfoot caption section article main blockquote pre figure figcaption body html address hr details summary center".split())
-_MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|sidebar|side|footer|header|masthead|cookie\w*|notice|consent|gdpr|comment\w*|disqus|share|sharing|social|related|recommend\w*|breadcrumb\w*|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|skip)(?:$|[\s_-])",
-    re.I,
-)
+_BLOCK = set("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table tr td th thead tbody tfoot caption section article main blockquote pre figure figcaption body html address hr details summary center header footer nav aside form".split())
+#: Elements that may end without an end tag, and the start tags that end them.
+_IMPLIED = {"p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "tr": {"tr", "tbody", "tfoot"}}
+_NESTS = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "td": {"table"}, "th": {"table"}, "tr": {"table"}, "p": set()}
+#: Headings and whole parts of a page aren't left out for their class.
+_KEPT = set("h1 h2 h3 h4 h5 h6 body html main article".split())
+_NAMED = r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|menu|nav\w*|sidebar|footer|masthead|cookie\w*|notice|consent|gdpr|comments?|disqus|share|sharing|social|related|recommend\w*|breadcrumb\w*|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar)(?:$|[\s_-])"
+_MARKED = re.compile(_NAMED, re.I)
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>", re.S | re.I)
 _TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>")
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none|role\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|alert|dialog)", re.I)
 
 
-def blocks(page: str) -> list[str]:
-    """Text blocks of a page in order, those within an article or main element if there are any."""
+def _left_out(name: str, rest: str, inside: bool) -> bool:
+    """Whether an element is no part of the text by its name, its class or its role; an id tells
+    that of plain boxes only. The header of an article holds its title."""
+    if name in _DROP or (name == "header" and not inside):
+        return True
+    if not rest or name in _KEPT or name == "header":
+        return False
+    names = [(k.lower(), x.strip("\"'")) for k, x in _NAMES.findall(rest)]
+    return any(_MARKED.search(x) for k, x in names if k != "id" or name in ("div", "ul", "ol")) or bool(_HIDDEN.search(rest))
+
+
+def blocks(page: str) -> tuple[bool, list[str]]:
+    """Text blocks of a page in order, and whether they are those of its article and main elements."""
     page = _RAW.sub(" ", page)
     out: list[tuple[bool, str]] = []
     part: list[str] = []
-    drop, depth, main, at = "", 0, 0, 0
+    drop, inner, main, at = "", [], 0, 0
 
     def end():
         text = " ".join(htmllib.unescape("".join(part)).split())
@@ -58,29 +74,35 @@ def blocks(page: str) -> list[str]:
         at = m.end()
         closing, name, rest = m[1], m[2].lower(), m[3]
         if drop:
-            if name == drop:
-                depth += -1 if closing else 1
-                if depth == 0:
-                    drop = ""
-            elif closing and name in ("article", "main", "body", "html"):
-                drop, depth = "", 0  # the dropped element was never closed
-                end()
-                main = max(0, main - (name in ("article", "main")))
-            continue
+            if not closing:
+                over = drop in _IMPLIED and name in _IMPLIED[drop] and not _NESTS[drop] & set(inner)
+                if not over:
+                    if name not in _VOID and not rest.endswith("/"):
+                        inner.append(name)
+                    continue
+            elif name in inner:
+                while inner.pop() != name:
+                    pass
+                continue
+            elif name == drop:
+                drop = ""
+                continue
+            elif drop not in _IMPLIED and name not in ("article", "main", "body", "html"):
+                continue  # ends nothing that is open
+            drop = ""  # its end tag was left out
         if closing:
             if name in _BLOCK:
                 end()
             if name in ("article", "main"):
                 main = max(0, main - 1)
             continue
-        marked = rest and (any(_MARKED.search(x.strip("\"'")) for x in _NAMES.findall(rest)) or _HIDDEN.search(rest))
         if name in _VOID or rest.endswith("/"):
             part.append(" ")
             if name == "hr":
                 end()
-        elif name in _DROP or (marked and name not in ("body", "html", "main")):
+        elif _left_out(name, rest, main > 0):
             end()
-            drop, depth = name, 1
+            drop, inner = name, []
         else:
             if name in _BLOCK:
                 end()
@@ -89,8 +111,9 @@ def blocks(page: str) -> list[str]:
     if not drop:
         part.append(page[at:])
     end()
-    inside = any(m for m, _ in out)
-    return [t for m, t in out if m or not inside]
+    n = [sum(len(t.split()) for m, t in out if m == k) for k in (False, True)]
+    framed = n[1] > 0 and n[1] >= n[0]
+    return framed, [t for m, t in out if m or not framed]
 
 
 def spreads(pages: list[list[list[str]]], run: int = RUN) -> list[np.ndarray]:
@@ -127,6 +150,18 @@ def _within(starts: np.ndarray, run: int) -> np.ndarray:
     return np.cumsum(edge)[: len(starts)] > 0
 
 
+def _unique(block: list[str], hit: np.ndarray) -> list[str]:
+    """Tokens that stay: none of a block that is covered whole; of others all but covered
+    stretches of ``RUN`` tokens or more, as runs reach a few words into the next block by chance."""
+    if hit.all():
+        return []
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]])))
+    gone = np.zeros(len(block), bool)
+    for lo, hi in zip(edges[::2], edges[1::2]):
+        gone[lo:hi] = hi - lo >= RUN
+    return [t for t, g in zip(block, gone) if not g]
+
+
 def covered(pages: list[list[list[str]]], least: int, run: int = RUN) -> list[np.ndarray]:
     """For each page whether each of its tokens lies in a run that ``least`` distinct pages have."""
     return [_within(x >= least, run) for x in spreads(pages, run)]
@@ -173,10 +208,9 @@ def clean(all_blocks: list[list[str]], shared: tuple[np.ndarray, np.ndarray] | N
             counts.append(n)
     for p, n in zip(pages, counts):
         hit = _within(n >= LEAST_PAGES, RUN)
-        mirror = len(hit) and hit.mean() > MIRROR
         kept, at = [], 0
         for b in p:
-            own = b if mirror else [t for t, h in zip(b, hit[at : at + len(b)]) if not h]
+            own = _unique(b, hit[at : at + len(b)])
             at += len(b)
             if own:
                 kept.append(" ".join(own))
@@ -187,8 +221,11 @@ def clean(all_blocks: list[list[str]], shared: tuple[np.ndarray, np.ndarray] | N
 def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
-    Null or empty pages have an empty text; null urls form a host of their own; repeated rows
-    are pages each; an empty table gives an empty table; other columns are ignored.
+    Null or empty pages have an empty text, and so have pages of which all is boilerplate. Text
+    outside article and main elements that ``LEAST_PAGES`` distinct pages of a host have goes at
+    any size of the host, also where copies of an article are what repeats; equal pages count as
+    one. Null urls form a host of their own; repeated rows are pages each; an empty table gives
+    an empty table; other columns are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     slim = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
@@ -196,27 +233,18 @@ def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [blocks(x.as_py()) for x in b.column("html")]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(found, pa.list_(pa.string()))], names=["page_id", "url", "host", "blocks"])
-
-    parsed = table(slim.mapInArrow(run, f"page_id {kinds['page_id']}, url string, host string, blocks array<string>"), "page-blocks")
-    hosts = parsed.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards"))
+            framed, found = zip(*(blocks(x.as_py()) for x in b.column("html"))) if b.num_rows else ((), ())
+            cols = [b.column("page_id"), b.column("url"), b.column("host"), pa.array(framed, pa.bool_()), pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "framed", "blocks"])
+
+    parsed = table(slim.mapInArrow(lean(run), f"page_id {kinds['page_id']}, url string, host string, framed boolean, blocks array<string>"), "page-blocks")
+    text = F.array_join("blocks", "\n\n")
+    told = parsed.where("framed OR size(blocks) = 0").select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
+    rest = parsed.where("NOT framed AND size(blocks) > 0").drop("framed")
+    hosts = rest.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards"))
     hosts = F.broadcast(hosts) if small_enough(hosts, BROADCAST_HOSTS) else hosts
     # by content: copies of a page meet in one shard, where they count once
-    placed = parsed.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("blocks"), F.col("shards")).cast("int"))
-
-    def texts_of(t, shared=None):
-        texts = clean(t.column("blocks").to_pylist(), shared)
-        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
-
-    def group(t):
-        return texts_of(t)
-
-    result = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
-    whole = placed.where("shards = 1").groupBy("host", "shard").applyInArrow(group, result)
-    large = hosts.where("shards > 1")
-    if large.isEmpty():
-        return whole
+    placed = rest.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("blocks"), F.col("shards")).cast("int"))
 
     def count(t):
         keys, n = shard_runs(t.column("blocks").to_pylist())
@@ -224,13 +252,16 @@ def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
 
     def part(t, runs):
         if not t.num_rows:
-            return texts_of(t)
-        keys, n = runs.column("key").to_numpy(), runs.column("n").to_numpy()
-        order = np.argsort(keys)
-        return texts_of(t, (keys[order], n[order]))
+            texts = []
+        else:
+            keys, n = runs.column("key").to_numpy(), runs.column("n").to_numpy()
+            order = np.argsort(keys)
+            texts = clean(t.column("blocks").to_pylist(), (keys[order], n[order]))
+        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
 
-    parts = placed.where("shards > 1").drop("shards")
+    parts = placed.drop("shards")
     counted = parts.groupBy("host", "shard").applyInArrow(count, "host string, key long, n long")
     repeated = table(counted.groupBy("host", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES), "repeated-runs")
-    everywhere = repeated.join(large, "host").select("host", "key", "n", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    return whole.unionByName(parts.groupBy("host", "shard").cogroup(everywhere.groupBy("host", "shard")).applyInArrow(part, result))
+    everywhere = repeated.join(hosts, "host").select("host", "key", "n", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    result = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
+    return told.unionByName(parts.groupBy("host", "shard").cogroup(everywhere.groupBy("host", "shard")).applyInArrow(part, result))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import ann, html_extract, licenses, lm_score, mixing, token_count, token_store, tokenizing, toxicity
+from gridloom.llm import ann, licenses, lm_score, mixing, token_count, token_store, tokenizing, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h string, score double, g_note string"
 
@@ -195,43 +195,6 @@ def test_neighbours(spark):
     assert ann.search(ann.build_index(none), none).isEmpty()
 
 
-def test_html(spark):
-    art = "<article><h1>Title &amp; more</h1><p>Some  <b>bold</b>\n text</p><form>no</form><div class='comments'><p>reader</p></div><p>end</p></article>"
-    page = f"<html><head><title>t</title></head><body><nav>menu</nav>{art}<aside>side</aside><footer>foot</footer></body></html>"
-    rows = [(1, "http://a/x", page, "z"), (2, "http://a/y", None, "z"), (3, None, "", "z"), (4, "http://b/1", "plain <p>two", "z"), (1, "http://a/x", page, "z")]
-    menu = "<div>home about contact news shop blog help login now</div>"
-    rows += [(10 + k, f"http://c/{k}", f"{menu}<div>{sentence(random.Random(k), 30)}</div>", "z") for k in range(8)]
-    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()
-    text = {r.page_id: r.text for r in got}
-    assert len(got) == 13 and text[1] == "Title & more\n\nSome bold text\n\nend" and text[2] == text[3] == "" and text[4] == "plain\n\ntwo"
-    assert all(text[10 + k] == sentence(random.Random(k), 30) for k in range(8)) and all(r.n_chars == len(r.text) for r in got)
-    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).isEmpty()
-
-
-def test_html_runs_of_the_whole_host(spark):
-    notice = "<div>this section is closed until the new hall opens again next spring</div>"
-    rows = [(k, f"http://d/{k}", f"{notice if k % 10 == 0 else ''}<div>{sentence(random.Random(k), 30)}</div>", "z") for k in range(60)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
-    for shard_pages in (256, 7):  # one shard, and nine of which none has the notice often
-        text = {r.page_id: r.text for r in html_extract.extract(df, shard_pages).collect()}
-        assert all(text[k] == sentence(random.Random(k), 30) for k in range(60)) and len(text) == 60
-    copies = spark.createDataFrame([(k, f"http://e/{k}", f"<div>{sentence(random.Random(1), 30)}</div>", "z") for k in range(5)], df.schema)
-    assert {r.text for r in html_extract.extract(copies, 2).collect()} == {sentence(random.Random(1), 30)}
-
-
-def test_repeated_runs_brute_force():
-    rng = random.Random(4)
-    pages = [[[rng.choice("abc") for _ in range(40)]] for _ in range(6)]
-    for least in (3, 4):
-        got = html_extract.covered(pages, least, run=5)
-        for p, hit in zip(pages, got):
-            want = np.zeros(40, bool)
-            for i in range(36):
-                if sum(any(q[0][k : k + 5] == p[0][i : i + 5] for k in range(36)) for q in pages) >= least:
-                    want[i : i + 5] = True
-            assert (hit == want).all()
-
-
 def test_licenses(spark, docs, empty):
     extra = ["Intro.\nReleased under the MIT License.\nmore", "This work is licensed under the GNU General Public License, version 3."]
     df = docs.unionByName(spark.createDataFrame(rows_of(extra, [200, 201]), SCHEMA))
