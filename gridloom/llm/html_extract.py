@@ -1,13 +1,14 @@
 """Main text of web pages with a suffix array per host.
 
-Markup gives blocks. What it names as menu, footer, advert, comment and the like is left out, and
-where article or main elements hold at least half of the other words, they are the text, whole.
-On all other pages the text is found by repetition: the token streams of a host's pages are
-joined and their suffixes sorted as far as ``RUN`` tokens, which tells every substring of at
-least that many that is repeated; what such substrings on ``LEAST_PAGES`` distinct pages cover
-is boilerplate and leaves the text, unique runs stay. Hosts with many pages are cut into
-shards by a hash; the numbers of pages that have a run are summed over the shards, so runs are
-judged by the whole host.
+Markup gives blocks and leaves out what it names as menu, footer, advert, comment and the like.
+Where article or main elements hold at least half of the other words, a page is framed by them,
+else open. The token streams of a host's pages are joined and their suffixes sorted as far as
+``RUN`` tokens, which tells every substring of at least that many that is repeated; what
+repeated substrings cover is boilerplate and leaves the text, unique runs stay. In open pages
+those count that ``LEAST_PAGES`` distinct pages have; within articles those that half of the
+host's distinct framed pages have, as an article may quote or copy another. Hosts with many
+pages are cut into shards by a hash of the content; numbers of pages are summed over shards,
+so runs are judged by the whole host: a run of half its pages is one of half a shard's in some shard.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from gridloom.llm._common import lean, small_enough, table
 from gridloom.llm.omh_dedup import _P, _mix, word_hashes
 
-RUN, SHARD_PAGES = 8, 256
-#: A run is boilerplate if at least so many distinct pages of the host have it.
-LEAST_PAGES = 3
-BROADCAST_HOSTS = 100_000
+RUN, SHARD_PAGES, SHARD_BYTES = 8, 256, 32_000_000
+#: A run is boilerplate if at least so many distinct pages of the host have it, open or framed ones.
+LEAST_PAGES, LEAST_FRAMED = 3, 5
+BROADCAST_HOSTS, BROADCAST_KEYS = 100_000, 200_000
 
 _DROP = set("nav footer aside form script style noscript template iframe svg button select textarea menu dialog head title object canvas audio video".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -173,7 +176,7 @@ def run_keys(page: list[list[str]], run: int = RUN) -> np.ndarray:
     h = np.zeros(max(0, len(w) - run + 1), np.uint64)
     for j in range(run if len(h) else 0):
         h = _mix(h * _P + w[j : j + len(h)])
-    return h.view(np.int64)
+    return h.view(np.int64) & ~1  # without the last bit, which tells kinds of keys apart
 
 
 def _distinct(all_blocks: list[list[str]]) -> tuple[list[list[list[str]]], list[int]]:
@@ -183,85 +186,127 @@ def _distinct(all_blocks: list[list[str]]) -> tuple[list[list[list[str]]], list[
     return [[b.split(" ") for b in bs] for bs in at], which
 
 
-def shard_runs(all_blocks: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the runs of a shard and how many distinct pages of it have each."""
-    pages, _ = _distinct(all_blocks)
-    found = [(k, n[: len(k)]) for k, n in ((run_keys(p), x) for p, x in zip(pages, spreads(pages)))]
-    keys, first = np.unique(np.concatenate([k for k, _ in found]), return_index=True)
-    return keys, np.concatenate([n for _, n in found])[first]
-
-
-def clean(all_blocks: list[list[str]], shared: tuple[np.ndarray, np.ndarray] | None = None) -> list[str]:
-    """Texts of the pages of a host, or of a shard of it if ``shared`` has the sorted keys and numbers
-    of distinct pages of those runs that are repeated over the whole host."""
-    pages, which = _distinct(all_blocks)
-    texts = []
-    if shared is None:
-        counts = spreads(pages)
-    else:
-        counts = []
-        for p in pages:
-            keys, n = run_keys(p), np.zeros(sum(map(len, p)), np.int64)
-            if len(shared[0]):
-                at = np.minimum(np.searchsorted(shared[0], keys), len(shared[0]) - 1)
-                n[: len(keys)] = np.where(shared[0][at] == keys, shared[1][at], 0)
-            counts.append(n)
-    for p, n in zip(pages, counts):
-        hit = _within(n >= LEAST_PAGES, RUN)
-        kept, at = [], 0
-        for b in p:
-            own = _unique(b, hit[at : at + len(b)])
-            at += len(b)
-            if own:
-                kept.append(" ".join(own))
-        texts.append("\n\n".join(kept))
-    return [texts[k] for k in which]
-
-
-def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES) -> DataFrame:
+def shard_runs(pages: list[list[list[str]]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the runs of distinct pages, sorted, and how many of the pages have each."""
+    found = [(k, n[: len(k)]) for k, n in ((run_keys(p), x) for p, x in zip(pages, spreads(pages)))] if pages else []
+    keys, first = np.unique(np.concatenate([np.zeros(0, np.int64), *[k for k, _ in found]]), return_index=True)
+    return keys, np.concatenate([np.zeros(0, np.int64), *[n for _, n in found]])[first]
+
+
+def clean(page: list[list[str]], repeated: np.ndarray) -> str:
+    """Text of a page without what runs cover whose keys are ``repeated`` (sorted)."""
+    keys, hit = run_keys(page), np.zeros(sum(map(len, page)), bool)
+    if len(repeated) and len(keys):
+        hit[: len(keys)] = repeated[np.minimum(np.searchsorted(repeated, keys), len(repeated) - 1)] == keys
+        hit = _within(hit, RUN)
+    kept, at = [], 0
+    for b in page:
+        own = _unique(b, hit[at : at + len(b)]) if len(repeated) else b
+        at += len(b)
+        if own:
+            kept.append(" ".join(own))
+    return "\n\n".join(kept)
+
+
+def _pack(framed: bool, found: list[str]) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(("1" if framed else "0").encode() + "\x1f".join(found).encode("utf-8", "replace"))
+
+
+def _unpack(raw: bytes) -> tuple[bool, list[str]]:
+    text = zstandard.ZstdDecompressor().decompress(raw).decode()
+    return text[0] == "1", text[1:].split("\x1f") if len(text) > 1 else []  # a block has no such mark: it is white space
+
+
+_SHARD = "host string, shard int, page_ids array<{id}>, urls array<string>, framed array<boolean>, blocks array<array<string>>, n_framed long, open_keys array<long>, open_n array<long>, wide_keys array<long>"
+
+
+def _gathered(id_kind: pa.DataType):
+    """A row for a shard: its pages, the runs of its open pages with the number of pages that
+    have each, and the runs that at least half of its framed pages have."""
+
+    def gather(t):
+        pages = [_unpack(x) for x in t.column("packed").to_pylist()]
+        (open_, _), (framed, _) = (_distinct([b for f, b in pages if f == k]) for k in (False, True))
+        open_keys, open_n = shard_runs(open_)
+        keys, n = shard_runs(framed)
+        row = {"page_ids": t.column("page_id").to_pylist(), "urls": t.column("url").to_pylist(), "framed": [f for f, _ in pages], "blocks": [b for _, b in pages]}
+        row |= {"n_framed": len(framed), "open_keys": open_keys, "open_n": open_n, "wide_keys": keys[2 * n >= len(framed)] if len(framed) > 1 else keys[:0]}
+        kinds = {"page_ids": pa.list_(id_kind), "urls": pa.list_(pa.string()), "framed": pa.list_(pa.bool_()), "blocks": pa.list_(pa.list_(pa.string())), "n_framed": pa.int64()}
+        cols = {c: pa.array([v], kinds.get(c, pa.list_(pa.int64()))) for c, v in row.items()}
+        return pa.table({"host": t.column("host").slice(0, 1), "shard": t.column("shard").slice(0, 1)} | cols)
+
+    return gather
+
+
+def _per_host(shards: DataFrame, keys: DataFrame, by: list[str]) -> DataFrame:
+    """``shards`` with the sorted ``keys`` of theirs as ``found``."""
+    few = small_enough(keys, BROADCAST_KEYS)
+    lists = keys.groupBy(*by).agg(F.sort_array(F.collect_set("key")).alias("found"))
+    joined = shards.join(F.broadcast(lists) if few else lists, by, "left")
+    return joined.withColumn("found", F.coalesce("found", F.array().cast("array<long>")))
+
+
+def _wide(shards: DataFrame, candidates: DataFrame) -> DataFrame:
+    """``host, shard, key`` of candidate runs that half the framed pages of a host have, wherever they occur."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for host, shard, framed, blocks_, found in zip(*(b.column(c).to_pylist() for c in ("host", "shard", "framed", "blocks", "found"))):
+                pages, _ = _distinct([x for f, x in zip(framed, blocks_) if f]) if found else ([], [])
+                keys = np.concatenate([np.zeros(0, np.int64), *[np.intersect1d(run_keys(p), np.array(found, np.int64)) for p in pages]])
+                rows += [(host, shard, k, n) for k, n in zip(*(x.tolist() for x in np.unique(keys, return_counts=True)))]
+            cols = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "shard", "key", "n"])
+
+    slim = _per_host(shards.select("host", "shard", "framed", "blocks"), candidates, ["host"])
+    seen = table(slim.mapInArrow(lean(run), "host string, shard int, key long, n long"), "wide-runs")
+    all_pages = shards.groupBy("host").agg(F.sum("n_framed").alias("pages"))
+    over = seen.groupBy("host", "key").agg(F.sum("n").alias("n")).join(all_pages, "host").where((F.col("n") >= LEAST_FRAMED) & (2 * F.col("n") >= F.col("pages")))
+    return seen.select("host", "shard", "key").join(over.select("host", "key"), ["host", "key"])
+
+
+def extract(pages: DataFrame, shard_pages: int = SHARD_PAGES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``page_id, url, text, n_chars`` for every row of ``pages``.
 
-    Null or empty pages have an empty text, and so have pages of which all is boilerplate. Text
-    outside article and main elements that ``LEAST_PAGES`` distinct pages of a host have goes at
-    any size of the host, also where copies of an article are what repeats; equal pages count as
-    one. Null urls form a host of their own; repeated rows are pages each; an empty table gives
-    an empty table; other columns are ignored.
+    Null or empty pages have an empty text, and so have pages of which all is boilerplate. Runs
+    go that ``LEAST_PAGES`` distinct pages of a host without article have in common, at any size
+    of the host and also where copies of a text are what repeats, and runs that half of a
+    host's distinct pages with article, ``LEAST_FRAMED`` or more, have in it. Equal pages count
+    as one. Null urls form a host of their own; repeated rows are pages each; an empty table
+    gives an empty table; other columns are ignored.
     """
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     slim = pages.select("page_id", "url", host.alias("host"), F.coalesce("html", F.lit("")).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema}
+    need = F.greatest(F.ceil(F.count("*") / shard_pages), F.ceil(F.sum(F.octet_length("html")) / shard_bytes)).cast("int")
+    hosts = slim.groupBy("host").agg(need.alias("shards"))
+    hosts = F.broadcast(hosts) if small_enough(hosts, BROADCAST_HOSTS) else hosts
 
-    def run(batches):
+    def parse(batches):
         for b in batches:
-            framed, found = zip(*(blocks(x.as_py()) for x in b.column("html"))) if b.num_rows else ((), ())
-            cols = [b.column("page_id"), b.column("url"), b.column("host"), pa.array(framed, pa.bool_()), pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "host", "framed", "blocks"])
-
-    parsed = table(slim.mapInArrow(lean(run), f"page_id {kinds['page_id']}, url string, host string, framed boolean, blocks array<string>"), "page-blocks")
-    text = F.array_join("blocks", "\n\n")
-    told = parsed.where("framed OR size(blocks) = 0").select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
-    rest = parsed.where("NOT framed AND size(blocks) > 0").drop("framed")
-    hosts = rest.groupBy("host").agg(F.ceil(F.count("*") / shard_pages).cast("int").alias("shards"))
-    hosts = F.broadcast(hosts) if small_enough(hosts, BROADCAST_HOSTS) else hosts
+            packed = [_pack(*blocks(x.as_py())) for x in b.column("html")]
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), b.column("host"), pa.array(packed, pa.binary())], names=["page_id", "url", "host", "packed"])
+
+    parsed = slim.mapInArrow(lean(parse), f"page_id {kinds['page_id']}, url string, host string, packed binary")
     # by content: copies of a page meet in one shard, where they count once
-    placed = rest.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("blocks"), F.col("shards")).cast("int"))
+    placed = parsed.join(hosts, "host").withColumn("shard", F.pmod(F.xxhash64("packed"), F.col("shards")).cast("int")).drop("shards")
+    id_kind = to_arrow_type(pages.schema["page_id"].dataType)
+    shards = table(placed.groupBy("host", "shard").applyInArrow(_gathered(id_kind), _SHARD.format(id=kinds["page_id"])), "host-shards")
 
-    def count(t):
-        keys, n = shard_runs(t.column("blocks").to_pylist())
-        return pa.table({"host": pa.array([t.column("host")[0].as_py()] * len(keys), pa.string()), "key": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
+    runs = shards.select("host", "shard", F.explode(F.arrays_zip("open_keys", "open_n")).alias("x")).select("host", "shard", F.col("x.open_keys").alias("key"), F.col("x.open_n").alias("n"))
+    often = runs.groupBy("host", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES).select("host", "key")
+    repeated = runs.select("host", "shard", "key").join(often, ["host", "key"])
+    candidates = shards.select("host", F.explode("wide_keys").alias("key")).distinct()
+    both = repeated.unionByName(_wide(shards, candidates).withColumn("key", F.col("key").bitwiseOR(F.lit(1))))
 
-    def part(t, runs):
-        if not t.num_rows:
-            texts = []
-        else:
-            keys, n = runs.column("key").to_numpy(), runs.column("n").to_numpy()
-            order = np.argsort(keys)
-            texts = clean(t.column("blocks").to_pylist(), (keys[order], n[order]))
-        return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())})
-
-    parts = placed.drop("shards")
-    counted = parts.groupBy("host", "shard").applyInArrow(count, "host string, key long, n long")
-    repeated = table(counted.groupBy("host", "key").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_PAGES), "repeated-runs")
-    everywhere = repeated.join(hosts, "host").select("host", "key", "n", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
-    result = f"page_id {kinds['page_id']}, url string, text string, n_chars long"
-    return told.unionByName(parts.groupBy("host", "shard").cogroup(everywhere.groupBy("host", "shard")).applyInArrow(part, result))
+    def texts(batches):
+        for b in batches:
+            for ids, urls, framed, blocks_, found in zip(*(b.column(c).to_pylist() for c in ("page_ids", "urls", "framed", "blocks", "found"))):
+                found = np.array(found, np.int64)
+                goes = {k: np.sort(found[found & 1 == k] & ~1) for k in (0, 1)}  # open pages, framed pages
+                out = [clean([x.split(" ") for x in bs], goes[f]) for f, bs in zip(framed, blocks_)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, id_kind), pa.array(urls, pa.string()), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
+
+    final = _per_host(shards.select("host", "shard", "page_ids", "urls", "framed", "blocks"), table(both, "repeated-runs"), ["host", "shard"])
+    return final.mapInArrow(lean(texts), f"page_id {kinds['page_id']}, url string, text string, n_chars long")

@@ -97,3 +97,19 @@ def test_blocks(page, want):
 def test_very_long_page():
     framed, found = html_extract.blocks("<article>" + "<p>word word</p>" * 50_000 + "</article>")
     assert framed and len(found) == 50_000
+
+
+def test_repetition_within_articles(spark):
+    """What half of a host's articles have goes, also where no shard of it has all; what some quote stays."""
+    rows, want = [], {}
+    trailer, quote = sentence(random.Random(5000), 12), sentence(random.Random(5001), 40)
+    for k in range(60):
+        own = sentence(random.Random(k), 40)
+        said = f"<p>{quote}</p>" if k % 4 == 0 else ""
+        rows.append((k, f"http://h/{k}", f"<nav>menu</nav><article><h1>t{k}</h1>{said}<p>{own}</p>{f'<div>{trailer}</div>' if k % 5 < 3 else ''}</article>"))
+        want[k] = "\n\n".join([f"t{k}", *([quote] if said else []), own])
+    rows += [(100 + k, "http://h/again", rows[k][2]) for k in range(60) if k % 5 > 2] * 3  # copies are one page
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for shard_pages in (256, 9):
+        got = html_extract.extract(df, shard_pages).collect()
+        assert len(got) == len(rows) and {r.page_id: r.text for r in got if r.page_id < 100} == want
