@@ -12,13 +12,16 @@ left of a class goes to unknown words. So the probabilities of all tokens sum to
 Counts cover every training document. Word counts are aggregated by Spark; the most frequent
 ``HEAD`` words, bounded by that number, are broadcast, all others are joined by a shuffle.
 Training goes over every token of every document as well: in each of ``ROUNDS`` rounds each
-partition takes steps from common parameters on one of ``ROUNDS`` positions, other ones than in
-the rounds before, then the parameters are averaged.
+group of texts takes steps from common parameters on one of ``ROUNDS`` positions, other ones than in
+the rounds before, then the parameters are averaged. Texts are tokenised twice, to count words
+and to write them as classes, which training and scoring read.
 """
 
 from __future__ import annotations
 
+import dataclasses
 import math
+import uuid
 import zlib
 from collections import Counter
 from itertools import repeat
@@ -30,13 +33,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import table
+from gridloom.llm._common import held, lean, table
 
 HEAD = 200_000
 WORD_CLASSES, SHAPES = 512, 256
 CLASSES = WORD_CLASSES + SHAPES
 DIM, NOISE, BATCH = 24, 96, 512
 ROUNDS, RATE = 2, 0.3
+#: Tokens of a group of texts that take steps one after the other, about; parameter sets that are averaged at once.
+GROUP_TOKENS, FAN = 4_000_000, 64
 #: Distinct words that a worker counts before it passes the counts on.
 FLUSH = 300_000
 _PUNCTUATION = b".,;:!?\"'()[]{}*-|%&$#"
@@ -170,16 +175,6 @@ class Vocabulary:
         return at, cls, np.log10(np.array([*self.counts, 0], float) + 1)
 
 
-_OPENED: dict[str, tuple] = {}
-
-
-def _opened(held, key: str):
-    if key not in _OPENED:
-        _OPENED.clear()
-        _OPENED[key] = held.value.open()
-    return _OPENED[key]
-
-
 def _classes(toks: list[bytes], at: dict, cls: np.ndarray):
     index = np.fromiter(map(at.get, toks, repeat(-1)), np.int64, len(toks))
     classes = cls[index]
@@ -194,57 +189,55 @@ def _positions(n: int, turn: int) -> slice:
     return slice((turn + n) % ROUNDS, None, ROUNDS)
 
 
-def _train_round(docs: DataFrame, held, key: str, params: Params, share: np.ndarray, turn: int) -> Params:
-    spark = docs.sparkSession
-    begin = spark.sparkContext.broadcast((params.flat(), share))
+def _taught(params: Params, share: np.ndarray, texts: list[np.ndarray], turn: int, group: int) -> tuple[Params, int]:
+    """Parameters after steps on a group's texts, given as classes, and the number of positions."""
+    trainer = Trainer(params, share, 1_000_003 * turn + group)
+    n = 0
+    for lo in range(0, len(texts), 256):
+        waiting = []
+        for classes in texts[lo : lo + 256]:
+            one, two = _contexts(classes)
+            pick = _positions(len(classes), turn)
+            waiting.append((one[pick], two[pick], classes[pick]))
+        one, two, word = (np.concatenate(x) for x in zip(*waiting))
+        mixed = trainer.rng.permutation(len(word))
+        for at in range(0, len(mixed), BATCH):
+            k = mixed[at : at + BATCH]
+            trainer.step(one[k], two[k], word[k])
+        n += len(word)
+    return trainer.p, n
+
+
+def _train_round(coded: DataFrame, params: Params, share: np.ndarray, turn: int, groups: int) -> Params:
+    """Mean of what the groups of ``coded`` (``group, place, classes``) make of the parameters.
+
+    Groups and the order in them are by hashes of the texts, so that partitions don't matter.
+    """
+    begin = coded.sparkSession.sparkContext.broadcast((params.flat(), share))
 
-    def run(batches):
-        at, cls, _ = _opened(held, key)
+    def teach(t):
         flat, share_ = begin.value
-        part = TaskContext.get().partitionId()
-        trainer = Trainer(Params.of(flat.copy()), share_, 1000 * turn + part)
-        waiting, n = [], 0
-
-        def steps(least):
-            nonlocal waiting, n
-            held_back = sum(len(x[0]) for x in waiting)
-            if held_back < least or not held_back:
-                return
-            one, two, word = (np.concatenate(x) for x in zip(*waiting))
-            mixed = trainer.rng.permutation(len(word))
-            for lo in range(0, len(mixed), BATCH):
-                k = mixed[lo : lo + BATCH]
-                trainer.step(one[k], two[k], word[k])
-            n += len(word)
-            waiting = []
+        t = t.sort_by([("place", "ascending"), ("classes", "ascending")])
+        group = t.column("group")[0].as_py()
+        p, n = _taught(Params.of(flat.copy()), share_, [np.frombuffer(c.as_py(), "<i2").astype(np.int64) for c in t.column("classes")], turn, group)
+        return pa.table({"group": pa.array([group], pa.int32()), "n": pa.array([float(n)]), "flat": pa.array([p.flat().astype("<f4").tobytes()], pa.binary())})
 
-        for b in batches:
-            for t in b.column(0):
-                _, classes, _ = _classes(tokens(t.as_py()), at, cls)
-                one, two = _contexts(classes)
-                pick = _positions(len(classes), turn)
-                waiting.append((one[pick], two[pick], classes[pick]))
-                if len(waiting) >= 256:
-                    steps(64 * BATCH)
-        steps(1)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([float(n)]), pa.array([trainer.p.flat().astype("<f4").tobytes()], pa.binary())], names=["part", "n", "flat"])
-
-    def mean(tables):
+    def mean(t):
+        t = t.sort_by("group")
         total, weight = 0.0, 0.0
-        for n, flat in zip(tables.column("n").to_pylist(), tables.column("flat").to_pylist()):
+        for n, flat in zip(t.column("n").to_pylist(), t.column("flat").to_pylist()):
             total = total + n * np.frombuffer(flat, "<f4").astype(float)
             weight += n
-        return pa.table({"n": pa.array([weight]), "flat": pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())})
+        flat = (total / weight).astype("<f4").tobytes() if weight else t.column("flat")[0].as_py()
+        return pa.table({"group": pa.array([t.column("group")[0].as_py() // FAN], pa.int32()), "n": pa.array([weight]), "flat": pa.array([flat], pa.binary())})
 
-    trained = docs.select("text").mapInArrow(run, "part int, n double, flat binary")
-    parts = max(1, docs.rdd.getNumPartitions())
-    groups = max(1, math.isqrt(parts))  # so neither a group nor the driver sees more than about that many
-    rows = trained.groupBy((F.col("part") % groups).alias("g")).applyInArrow(mean, "n double, flat binary").collect()
-    if not rows:
-        return params
-    weight = sum(r.n for r in rows)
-    return Params.of(sum(r.n / weight * np.frombuffer(r.flat, "<f4").astype(float) for r in sorted(rows, key=lambda r: r.flat)))
+    made = "group int, n double, flat binary"
+    means = coded.groupBy("group").applyInArrow(teach, made)
+    while groups > 1:  # so that no task and not the driver sees more than FAN parameter sets
+        means = means.groupBy(F.floor(F.col("group") / FAN).alias("above")).applyInArrow(mean, made)
+        groups = -(-groups // FAN)
+    rows = means.collect()  # one at most
+    return Params.of(np.frombuffer(rows[0].flat, "<f4").astype(float)) if rows else params
 
 
 def _log_z(spark, params: Params) -> np.ndarray:
@@ -268,16 +261,23 @@ def _log_z(spark, params: Params) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
+@dataclasses.dataclass
+class Model:
+    """``vocabulary`` holds the words counted more than ``least`` times; ``room`` is log10 of the
+    counts, words and one unknown word of each class of shapes; N and V are ``total, distinct``."""
 
-    Learns from rows that aren't held out. A null text is empty and has one token, its end;
-    repeated rows count and are scored each; with no training row, N and V are 0 and every
-    token has base log10(1); an empty table gives an empty table; other columns are ignored.
-    """
-    spark = docs.sparkSession
-    slim = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    training = slim.where("NOT held_out")
+    params: Params
+    vocabulary: Vocabulary
+    room: np.ndarray
+    share: np.ndarray
+    counts: DataFrame
+    total: int
+    distinct: int
+    least: int
+
+
+def _counted(training: DataFrame) -> Model:
+    """All of the model but trained vectors."""
     counts = table(count_words(training), "word-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     # words counted more than ``least`` times are at most HEAD; distinct counts are few, their sum being at most N
@@ -304,51 +304,92 @@ def score(docs: DataFrame) -> DataFrame:
         s = shape(vocabulary.words[k]) - WORD_CLASSES
         n_shape[s] -= vocabulary.counts[k]
         v_shape[s] -= 1
-    room = np.log10(n_shape + v_shape + 1)
     share = np.ones(CLASSES)
     share[:n_words] += vocabulary.counts[:n_words]
     share[WORD_CLASSES:] += n_shape
     share /= share.sum()
+    return Model(Params.start(share), vocabulary, np.log10(n_shape + v_shape + 1), share, counts, total, distinct, least)
 
-    held = spark.sparkContext.broadcast(vocabulary)
-    key = f"{id(docs)}-{total}-{distinct}-{least}"
-    params = Params.start(share)
-    for turn in range(ROUNDS):
-        params = _train_round(training, held, key, params, share, turn)
-    model = spark.sparkContext.broadcast((params.flat(), _log_z(spark, params), room))
+
+def _coded(docs: DataFrame, model: Model) -> DataFrame:
+    """Each row as the classes of its tokens, with what its score has besides the classes'
+    probabilities: ``rest`` within classes, ``head_log`` of the base score; ``tail`` are the words
+    that the vocabulary doesn't hold."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.vocabulary, model.room))
+    key = f"{uuid.uuid4()}"
 
     def run(batches):
-        at, cls, logs = _opened(held, key)
-        flat, log_z, room_ = model.value
-        p = Params.of(flat)
+        at, cls, logs, room = held(("vocabulary", key), lambda: (*sent.value[0].open(), sent.value[1]))
         uid = TaskContext.get().partitionId() << 33
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                cols: list[list] = [[] for _ in range(6)]
+                cols: list[list] = [[] for _ in range(7)]
                 for text in part.column("text").to_pylist():
                     index, classes, tail = _classes(tokens(text), at, cls)
-                    one, two = _contexts(classes)
-                    own = (np.einsum("bd,bd->b", p.context(one, two), p.q[classes]) + p.b[classes]).astype(float) / math.log(10)
                     shaped = classes >= WORD_CLASSES
                     in_head = logs[index]
-                    lm = (own - log_z[one, two]).sum() - room_[classes[shaped] - WORD_CLASSES].sum() + in_head[shaped].sum()
-                    for c, x in zip(cols, (uid, len(index), len(index) - len(tail), float(in_head.sum()), float(lm), tail)):
+                    rest = in_head[shaped].sum() - room[classes[shaped] - WORD_CLASSES].sum()
+                    for c, x in zip(cols, (uid, len(index), len(index) - len(tail), float(in_head.sum()), float(rest), classes.astype("<i2").tobytes(), tail)):
                         c.append(x)
                     uid += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary())]
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("held_out"), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-                    names=["doc_id", "held_out", "uid", "n_tokens", "known", "head_log", "lm", "tail"],
+                    names=["doc_id", "held_out", "uid", "n_tokens", "known", "head_log", "rest", "classes", "tail"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    scored = table(
-        slim.mapInArrow(run, f"doc_id {id_type}, held_out boolean, uid long, n_tokens long, known long, head_log double, lm double, tail array<binary>"), "lm-scores"
-    )
-    if distinct > len(vocabulary.words):
-        rest = counts.where(F.col("c") <= least)
-        tail = scored.select("uid", F.explode("tail").alias("word")).join(rest, "word")
+    schema = f"doc_id {id_type}, held_out boolean, uid long, n_tokens long, known long, head_log double, rest double, classes binary, tail array<binary>"
+    return table(docs.mapInArrow(lean(run), schema), "coded-texts")
+
+
+def _trained(coded: DataFrame, model: Model) -> Params:
+    groups = max(1, -(-model.total // GROUP_TOKENS))
+    texts = coded.where("NOT held_out").select(F.pmod(F.xxhash64("classes", F.lit("group")), F.lit(groups)).cast("int").alias("group"), F.xxhash64("classes").alias("place"), "classes")
+    params = model.params
+    for turn in range(ROUNDS):
+        params = _train_round(texts, params, model.share, turn, groups)
+    return params
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
+
+    Learns from rows that aren't held out. A null text is empty and has one token, its end;
+    repeated rows count and are scored each; with no training row, N and V are 0 and every
+    token has base log10(1); an empty table gives an empty table; other columns are ignored.
+    Neither partitions nor the order of rows change a result.
+    """
+    spark = docs.sparkSession
+    slim = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
+    model = _counted(slim.where("NOT held_out"))
+    coded = _coded(slim, model)
+    return _scored(coded, model, _trained(coded, model), spark)
+
+
+def _scored(coded: DataFrame, model: Model, params: Params, spark) -> DataFrame:
+    sent = spark.sparkContext.broadcast((params.flat(), _log_z(spark, params)))
+
+    def run(batches):
+        flat, log_z = sent.value
+        p = Params.of(flat)
+        for b in batches:
+            lm = []
+            for raw in b.column("classes"):
+                classes = np.frombuffer(raw.as_py(), "<i2").astype(np.int64)
+                one, two = _contexts(classes)
+                own = (np.einsum("bd,bd->b", p.context(one, two), p.q[classes]) + p.b[classes]).astype(float) / math.log(10)
+                lm.append(float((own - log_z[one, two]).sum()))
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names[:-1]] + [pa.array(lm, pa.float64())], names=names)
+
+    names = ["doc_id", "held_out", "uid", "n_tokens", "known", "head_log", "rest", "lm"]
+    id_type = coded.schema["doc_id"].dataType.simpleString()
+    scored = coded.select(*names[:-1], "classes").mapInArrow(lean(run), f"doc_id {id_type}, held_out boolean, uid long, n_tokens long, known long, head_log double, rest double, lm double")
+    if model.distinct > len(model.vocabulary.words):
+        scored = table(scored, "lm-scores")
+        rare = model.counts.where(F.col("c") <= model.least)
+        tail = coded.select("uid", F.explode("tail").alias("word")).join(rare, "word")
         sums = tail.groupBy("uid").agg(F.count("*").alias("tail_known"), F.sum(F.log10(F.col("c") + 1)).alias("tail_log"))
         scored = scored.join(sums, "uid", "left")
     else:
@@ -360,7 +401,7 @@ def score(docs: DataFrame) -> DataFrame:
         "held_out",
         "n_tokens",
         known.alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("head_log") + tail_log - F.col("n_tokens") * math.log10(total + distinct + 1)).alias("base_score"),
-        (F.col("lm") + tail_log).alias("score"),
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("head_log") + tail_log - F.col("n_tokens") * math.log10(model.total + model.distinct + 1)).alias("base_score"),
+        (F.col("lm") + F.col("rest") + tail_log).alias("score"),
     )

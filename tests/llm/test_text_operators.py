@@ -153,21 +153,62 @@ def test_language_model(docs, empty):
     assert lm_score.score(empty).isEmpty()
 
 
-def test_language_model_trains_on_every_token(spark):
-    vocabulary = lm_score.Vocabulary([b"", b"one"], [9, 9])
+def test_language_model_trains_on_every_token():
     share = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
-    for k, text in enumerate(("", "one")):  # texts of one and two tokens
-        begin = lm_score.Params.start(share)
-        df = spark.createDataFrame([(text,)] * 20, "text string")
-        key = f"every-token-{k}"
-        ends = [lm_score._train_round(df, spark.sparkContext.broadcast(vocabulary), key, begin, share, turn) for turn in range(lm_score.ROUNDS)]
+    for k, text in enumerate(([0], [1, 0])):  # texts of one and two tokens
+        texts = [np.array(text)] * 20
+        ends = [lm_score._taught(lm_score.Params.start(share), share, texts, turn, 0)[0] for turn in range(lm_score.ROUNDS)]
         for c in range(k + 1):  # a class's bias goes up only where the class is a target
-            word = 1 - c if k else 0
-            assert any(e.b[word] > begin.b[word] for e in ends), (text, word)
+            assert any(e.b[text[c]] > np.log(share[0]) + 1e-6 for e in ends), text
     for n in range(1, 12):
         assert sorted(i for turn in range(lm_score.ROUNDS) for i in range(n)[lm_score._positions(n, turn)]) == list(range(n))
 
 
+def test_language_model_against_plain_loops(spark, monkeypatch):
+    """The score of every text, token by token, from the model; probabilities of all words sum to one."""
+    monkeypatch.setattr(lm_score, "HEAD", 60)  # so that some words are joined by a shuffle
+    monkeypatch.setattr(lm_score, "GROUP_TOKENS", 300)
+    rng = random.Random(11)
+    words = [sentence(rng, 1) for _ in range(90)]
+    data = [(k, " ".join(rng.choices(words, [1 / (i + 1) for i in range(90)], k=rng.randint(0, 40)))) for k in range(120)] + [(200, "unseen words"), (None, None)]
+    df = spark.createDataFrame(data, "doc_id long, text string").withColumn("held_out", lm_score.held_out(F.col("doc_id")))
+    model = lm_score._counted(df.where("NOT held_out"))
+    coded = lm_score._coded(df, model)
+    params = lm_score._trained(coded, model)
+    again = lm_score._trained(coded.orderBy(F.desc("uid")).repartition(3), model)
+    assert (params.flat() == again.flat()).all()  # partitions and order don't matter
+    got = {r.doc_id: r.score for r in lm_score._scored(coded, model, params, spark).collect()}
+    count = {bytes(r.word): r.c for r in model.counts.collect()}
+    own = {w: k for k, w in enumerate(model.vocabulary.words[: lm_score.WORD_CLASSES])}
+    class_of = lambda w: own.get(w, lm_score.shape(w))
+    members: dict = {}
+    for w in count:
+        members.setdefault(class_of(w), []).append(w)
+
+    def softmax(one, two):
+        s = params.context(np.array([one]), np.array([two]))[0] @ params.q.T + params.b
+        e = np.exp(s.astype(float) - s.max())
+        return e / e.sum()
+
+    def within(w):
+        k = class_of(w)
+        if k < lm_score.WORD_CLASSES:
+            return 1.0
+        return (count.get(w, 0) + 1) / (sum(count[m] + 1 for m in members.get(k, [])) + 1)
+
+    for i, text in data:
+        before, total = [lm_score.CLASSES] * 2, 0.0
+        for w in lm_score.tokens(text):
+            total += math.log10(softmax(before[1], before[0])[class_of(w)] * within(w))
+            before = [before[1], class_of(w)]
+        assert got[i] == pytest.approx(total, abs=1e-3), text
+    p = softmax(3, lm_score.WORD_CLASSES + 4)
+    mass = sum(p[class_of(w)] * within(w) for w in count)
+    unknown = sum(p[k] / (sum(count[m] + 1 for m in members.get(k, [])) + 1) for k in range(lm_score.WORD_CLASSES, lm_score.CLASSES))
+    empty_words = sum(p[k] for k in range(lm_score.WORD_CLASSES) if k not in own.values())
+    assert mass + unknown + empty_words == pytest.approx(1, abs=1e-6)
+
+
 def test_language_model_is_normalised(spark):
     share = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES)
     p = lm_score.Params.start(share)
