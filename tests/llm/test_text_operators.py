@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from gridloom.llm import ann, licenses, lm_score, mixing, token_count, token_store, tokenizing, toxicity
+from gridloom.llm import ann, lm_score, mixing, token_count, token_store, tokenizing, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, h string, score double, g_note string"
 
@@ -234,11 +234,3 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 10 * 75
     none = df.where("vec_id = -1")
     assert ann.search(ann.build_index(none), none).isEmpty()
-
-
-def test_licenses(spark, docs, empty):
-    extra = ["Intro.\nReleased under the MIT License.\nmore", "This work is licensed under the GNU General Public License, version 3."]
-    df = docs.unionByName(spark.createDataFrame(rows_of(extra, [200, 201]), SCHEMA))
-    got = {(r.doc_id, r.paragraph, r.family) for r in licenses.scan(df).collect()}
-    assert got == {(200, 1, "MIT"), (201, 0, "GPL-3.0")}
-    assert licenses.scan(empty).isEmpty()
