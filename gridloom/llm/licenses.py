@@ -139,12 +139,12 @@ def train(docs: DataFrame):
     none = drawn.join(alike, "g_row", "left_anti").withColumn("label", F.lit(0.0))
     half = F.pmod(F.xxhash64("g_h", F.lit(2)), F.lit(2)) == 0
     data = _features(given.select("label", "g_words").unionByName(none.where(half).select("label", "g_words")))
-    model = LogisticRegression(featuresCol="g_x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=80, probabilityCol="g_p", rawPredictionCol="g_raw", predictionCol="g_k").fit(data)
+    model = LogisticRegression(featuresCol="g_x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=60, probabilityCol="g_p", rawPredictionCol="g_raw", predictionCol="g_k").fit(data.coalesce(2))
     held = none.where(~half).select("g_words", F.lit(0.0).alias("label"), F.lit(1.0).alias("g_w"))
     true = given.where("label > 0").select("g_words", F.lit(1.0).alias("label"), F.lit(RARITY).alias("g_w"))
     false = given.where("label = 0").select("g_words", "label", F.lit(RARITY).alias("g_w"))
     odds = model.transform(_features(held.unionByName(true).unionByName(false))).select("label", "g_w", _log_odds(F.col("g_p")).alias("g_o"))
-    fitted = LogisticRegression(featuresCol="g_v", labelCol="label", weightCol="g_w", regParam=1e-3).fit(VectorAssembler(inputCols=["g_o"], outputCol="g_v").transform(odds))
+    fitted = LogisticRegression(featuresCol="g_v", labelCol="label", weightCol="g_w", regParam=1e-3, maxIter=20).fit(VectorAssembler(inputCols=["g_o"], outputCol="g_v").transform(odds).coalesce(2))
     return model, families, (max(0.0, float(fitted.coefficients[0])), float(fitted.intercept))
 
 
