@@ -102,18 +102,15 @@ def paragraphs(docs: DataFrame) -> DataFrame:
     return split.where(F.col("g_text").rlike(r"[\p{L}\p{N}]"))
 
 
-def _passages(spark) -> DataFrame:
+def _passages(spark) -> tuple[list[tuple[str, list[int]]], Column]:
+    """Family and word pairs of each passage, and an array of the telling pairs of them all, those
+    without pairs of function words; both are fixed lists."""
     rows = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
     words = spark.createDataFrame(rows, "g_name string, g_t string").select("g_name", _tokens(F.col("g_t")).alias("g_t"))
-    return words.select("g_name", "g_t", F.array_distinct(_shingles(F.col("g_t"))).alias("g_pairs"))
-
-
-def _telling(spark) -> Column:
-    """Array of the word pairs of all passages, without those of function words; a fixed list."""
-    plain = F.lit("a an and any as at be by for from in is it its may no not of on or that the this to under with you".split())
-    pairs = _passages(spark).select("g_t", F.explode(F.sequence(F.lit(0), F.size("g_t") - 2)).alias("i")).where("size(g_t) > 1").select(F.get("g_t", F.col("i")).alias("x"), F.get("g_t", F.col("i") + 1).alias("y"))
-    found = pairs.where(~F.array_contains(plain, F.col("x")) | ~F.array_contains(plain, F.col("y"))).select(F.xxhash64("x", "y").alias("s")).distinct().orderBy("s").collect()
-    return F.lit([r.s for r in found]).cast("array<bigint>")
+    found = words.select("g_name", "g_t", _shingles(F.col("g_t")).alias("g_pairs")).collect()
+    plain = set("a an and any as at be by for from in is it its may no not of on or that the this to under with you".split())
+    telling = sorted({s for r in found for x, y, s in zip(r.g_t, r.g_t[1:], r.g_pairs) if not {x, y} <= plain})
+    return [(r.g_name, list(dict.fromkeys(r.g_pairs))) for r in found], F.lit(telling).cast("array<bigint>")
 
 
 def _wordings(text: str) -> list[str]:
@@ -121,30 +118,32 @@ def _wordings(text: str) -> list[str]:
     return [text, text.lower(), text.upper(), "Note: " + text, text + " See the file for details.", "Copyright 2020 the authors. " + text, " ".join(ws[: max(4, len(ws) * 2 // 3)]), " ".join(ws[len(ws) // 3 :] if len(ws) > 8 else ws)]
 
 
-def train(docs: DataFrame):
+def train(docs: DataFrame, fixed: tuple[list[tuple[str, list[int]]], Column] | None = None):
     """Model, names of its classes, and slope and intercept that calibrate the log odds of a licence.
 
     Paragraphs that share most word pairs with a passage, or ``TELLING`` telling ones with any,
-    aren't taken for class none."""
+    aren't taken for class none. What trains is written first, as one sorted part: each round of a
+    fit is a job of one task over that table, and sends the driver one gradient."""
     spark = docs.sparkSession
+    passages, telling = fixed or _passages(spark)
     families = ["none", *TEMPLATES]
     rows = [(float(k), v) for k, f in enumerate(families[1:], 1) for t in TEMPLATES[f] for v in _wordings(t)] + [(0.0, v) for t in NEGATIVES for v in (t, t.lower())]
     given = spark.createDataFrame(rows, "label double, g_text string").withColumn("g_words", _tokens(F.col("g_text")))
     picked = paragraphs(docs).select("g_text", F.xxhash64("g_text", "doc_id").alias("g_h")).orderBy("g_h", "g_text").limit(SAMPLE + CALIBRATE)
     drawn = table(picked.dropDuplicates(["g_text"]).withColumn("g_words", _tokens(F.col("g_text"))).withColumn("g_row", F.monotonically_increasing_id()), "license-sample")
     own = drawn.select("g_row", F.explode(F.array_distinct(_shingles(F.col("g_words")))).alias("g_s"))
-    theirs = _passages(spark).select(F.xxhash64("g_pairs").alias("g_k"), F.size("g_pairs").alias("g_n"), F.explode("g_pairs").alias("g_s"))
+    theirs = spark.createDataFrame([(k, len(pairs), s) for k, (_, pairs) in enumerate(passages) for s in pairs], "g_k int, g_n int, g_s long")
     alike = own.join(F.broadcast(theirs), "g_s").groupBy("g_row", "g_k", "g_n").count().where(F.col("count") >= 0.5 * F.col("g_n")).select("g_row").distinct()  # passages are a fixed list
-    drawn = drawn.where(F.size(F.array_intersect(_shingles(F.col("g_words")), _telling(spark))) < TELLING)
-    none = drawn.join(alike, "g_row", "left_anti").withColumn("label", F.lit(0.0))
+    drawn = drawn.where(F.size(F.array_intersect(_shingles(F.col("g_words")), telling)) < TELLING)
     half = F.pmod(F.xxhash64("g_h", F.lit(2)), F.lit(2)) == 0
-    data = _features(given.select("label", "g_words").unionByName(none.where(half).select("label", "g_words")))
-    model = LogisticRegression(featuresCol="g_x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=60, probabilityCol="g_p", rawPredictionCol="g_raw", predictionCol="g_k").fit(data.coalesce(2))
-    held = none.where(~half).select("g_words", F.lit(0.0).alias("label"), F.lit(1.0).alias("g_w"))
-    true = given.where("label > 0").select("g_words", F.lit(1.0).alias("label"), F.lit(RARITY).alias("g_w"))
-    false = given.where("label = 0").select("g_words", "label", F.lit(RARITY).alias("g_w"))
-    odds = model.transform(_features(held.unionByName(true).unionByName(false))).select("label", "g_w", _log_odds(F.col("g_p")).alias("g_o"))
-    fitted = LogisticRegression(featuresCol="g_v", labelCol="label", weightCol="g_w", regParam=1e-3, maxIter=20).fit(VectorAssembler(inputCols=["g_o"], outputCol="g_v").transform(odds).coalesce(2))
+    none = drawn.join(alike, "g_row", "left_anti").select(F.lit(0.0).alias("label"), "g_words", half.alias("g_fit"), F.when(~half, 1.0).alias("g_w"))
+    either = none.unionByName(given.select("label", "g_words", F.lit(True).alias("g_fit"), F.lit(RARITY).alias("g_w")))
+    data = table(_features(either.coalesce(1).sortWithinPartitions("label", "g_words")).select("label", "g_fit", "g_w", "g_x"), "license-training")
+    fit = LogisticRegression(featuresCol="g_x", labelCol="label", family="multinomial", regParam=1e-4, maxIter=60, probabilityCol="g_p", rawPredictionCol="g_raw", predictionCol="g_k")
+    model = fit.fit(data.where("g_fit").coalesce(1))
+    seen = model.transform(data.where("g_w is not null")).select((F.col("label") > 0).cast("double").alias("label"), "g_w", _log_odds(F.col("g_p")).alias("g_o"))
+    odds = table(VectorAssembler(inputCols=["g_o"], outputCol="g_v").transform(seen.coalesce(1)), "license-odds")
+    fitted = LogisticRegression(featuresCol="g_v", labelCol="label", weightCol="g_w", regParam=1e-3, maxIter=20).fit(odds.coalesce(1))
     return model, families, (max(0.0, float(fitted.coefficients[0])), float(fitted.intercept))
 
 
@@ -163,19 +162,19 @@ def scan(docs: DataFrame) -> DataFrame:
     empty table gives an empty table.
     """
     spark = docs.sparkSession
-    model, families, (slope, intercept) = train(docs)
+    passages, telling = fixed = _passages(spark)
+    model, families, (slope, intercept) = train(docs, fixed)
     read = paragraphs(docs).withColumn("g_words", _tokens(F.col("g_text")))
     odds = F.lit(slope) * _log_odds(F.col("g_p")) + F.lit(intercept)
     scored = model.transform(_features(read)).select("doc_id", "paragraph", "g_words", (1 / (1 + F.exp(-odds))).alias("probability"), vector_to_array("g_p").alias("g_p"))
     rest = F.slice("g_p", 2, len(families) - 1)
     best = F.get(F.array(*[F.lit(f) for f in families[1:]]), F.array_position(rest, F.array_max(rest)).cast("int") - 1)
     likely = scored.where(F.col("probability") >= F.lit(LEAST)).select("doc_id", "paragraph", "g_words", best.alias("g_family"), "probability")
-    passages = _passages(spark)
-    templates = passages.groupBy("g_name").agg(F.collect_list("g_pairs").alias("g_ts"))
+    templates = spark.createDataFrame([(f, [pairs for g, pairs in passages if g == f]) for f in TEMPLATES], "g_name string, g_ts array<array<bigint>>")
     own = likely.withColumn("g_s", F.array_distinct(_shingles(F.col("g_words"))))
     joined = own.join(F.broadcast(templates), F.col("g_family") == F.col("g_name"))  # as many rows as families
     share = F.array_max(F.transform("g_ts", lambda t: F.size(F.array_intersect(t, F.col("g_s"))) / F.least(F.size(t), F.size("g_s"))))
     out = joined.withColumn("similarity", share)
     confirmed = F.col("similarity") >= CONFIRM
-    like = (F.col("probability") >= UNKNOWN) & (F.size(F.array_intersect("g_s", _telling(spark))) >= TELLING)
+    like = (F.col("probability") >= UNKNOWN) & (F.size(F.array_intersect("g_s", telling)) >= TELLING)
     return out.where(confirmed | like).select("doc_id", "paragraph", F.when(confirmed, F.col("g_family")).otherwise("unknown").alias("family"), "probability", "similarity")

@@ -72,3 +72,17 @@ def test_repeats_and_empty_tables(spark):
     df = spark.createDataFrame([(None, "Released under the MIT License.", "x", 1, "y")] * 2, SCHEMA)
     assert [(r.doc_id, r.family) for r in licenses.scan(df).collect()] == [(None, "MIT")] * 2
     assert licenses.scan(df.limit(0)).isEmpty()
+
+
+def test_a_round_of_training_is_one_task(spark):
+    df = spark.createDataFrame([(k, f"{invented(random.Random(k), 12)}.", "x", 1, "y") for k in range(40)], SCHEMA)
+    sc = spark.sparkContext
+    sc.setJobGroup("licences", "training")
+    try:
+        licenses.scan(df)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    seen = sc.statusTracker()
+    jobs = [[seen.getStageInfo(s) for s in seen.getJobInfo(j).stageIds] for j in seen.getJobIdsForGroup("licences")]
+    rounds = [j for j in jobs if any(s and s.name.startswith("treeAggregate") for s in j)]
+    assert rounds and all(len(j) == 1 and j[0].numTasks == 1 for j in rounds)  # the driver holds no earlier stages for a round, and one gradient
