@@ -124,6 +124,13 @@ def test_linear_statistics(spark, lo, hi):
     assert got == _linear(groups, lo, hi)
 
 
+def test_rollup_has_an_overall_row(spark):
+    stats = spark.createDataFrame([("h", 1, 8, 2), ("h", 3, 4, 1), (None, None, 5, 1)], "type string, inst long, nnz long, pat long")
+    got = sorted(map(tuple, mining.rollup(stats).collect()), key=str)
+    assert got == sorted([("h", 1, 8, 2, 0), ("h", 3, 4, 1, 0), (None, None, 5, 1, 0), ("h", None, 12, 3, 1), (None, None, 5, 1, 1), (None, None, 17, 4, 2)], key=str)
+    assert list(map(tuple, mining.rollup(stats.where("false")).collect())) == [(None, None, None, None, 2)]
+
+
 @pytest.mark.parametrize(
     "options",
     [
