@@ -1,10 +1,11 @@
 """Sparse-matrix operators against plain Python on small matrices, and the negative cases."""
 
 import random
+import re
 
 import pytest
 
-from gridloom import errors, model
+from gridloom import catalog, errors, model
 from gridloom.functions import xform
 from gridloom.operators import access, partition, products, reorder, vectors
 from gridloom.options import Options, format_types, from_environment, parse_types, set_option
@@ -131,6 +132,18 @@ def test_rollup_has_an_overall_row(spark):
     assert list(map(tuple, mining.rollup(stats.where("false")).collect())) == [(None, None, None, None, 2)]
 
 
+def _fewest(df, key):
+    """Partitions of the exchanges by this column, the fewest."""
+    return min(int(n) for cols, n in re.findall(r"hashpartitioning\(([^()]*), (\d+)\)", df._jdf.queryExecution().executedPlan().toString()) if re.search(rf"\b{key}#", cols))
+
+
+@pytest.mark.parametrize("name", ["stats_h", "stats_v", "stats_d", "stats_ad", "stats_br2", "stats_scaled", "stats_merge", "stats_rollup", "type_scores", "type_scores_cost", "choose_type", "coverage_filter", "rle_runs"])
+def test_mining_tasks_stay_small(spark, monkeypatch, name):
+    monkeypatch.setattr(model, "ROWS_A_TASK", 500, raising=False)
+    df = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert _fewest(df, "a") >= 12 and _fewest(df, "l_suppkey") >= 12  # 6,000 line items; the session has 4 partitions
+
+
 @pytest.mark.parametrize(
     "options",
     [
