@@ -3,7 +3,7 @@
 A unit table has a row per unit: ``part, row, col`` (0-based place of the first element),
 ``type`` (``none`` for single elements with their column gaps), ``inst``, ``size``,
 ``deltas`` and ``vals``. Encoding works on groups of one iteration order: each is a row, column,
-diagonal or band of rows, never the matrix, and is handled by one Arrow function call.
+diagonal or band of rows, never the matrix; Arrow function calls handle many of them at once.
 """
 
 from __future__ import annotations
@@ -13,62 +13,94 @@ from math import gcd
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.xform import inverse, transformed
-from gridloom.model import Matrix
+from gridloom.model import Matrix, spread
 from gridloom.options import LINEAR, TYPE_ORDER, Options, alignment, parse_types
 from gridloom.plans import mining
 
 MAX_SINGLE = 255
+#: Elements of an Arrow function call, unless a group has more.
+CHUNK = 65_536
 
 
 def lcm(a: int, b: int) -> int:
     return a // gcd(a, b) * b
 
 
-def _linear_units(b: np.ndarray, sep: np.ndarray, strides: set[int], lo: int, hi: int) -> list[tuple[int, int, int]]:
-    """Units (begin, size, stride) among sorted positions; ``sep`` marks elements after which an
-    encoded pattern interrupts the run."""
-    out, n, at, free = [], len(b), 0, 0
-    while at < n - 1:
-        stride = int(b[at + 1] - b[at])
-        stop = at + 1
-        while stop < n - 1 and b[stop + 1] - b[stop] == stride and not sep[stop]:
-            stop += 1
-        if sep[at]:
-            at += 1
-            free = at
+def _groups(batches, keys: tuple[str, ...], cut):
+    """``cut`` of tables of whole groups, from batches sorted by ``keys``; many groups go into one call."""
+    held, rows, need = [], 0, CHUNK
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < need:
             continue
-        begin = max(at, free)
-        size = stop - begin + 1
-        used = begin
-        if stride in strides:
-            while size >= lo:
-                take = min(size, hi)
-                out.append((used, take, stride))
-                used += take
-                size -= take
-        if used > begin:
+        x = pa.Table.from_batches(held).combine_chunks()
+        last = np.ones(rows, bool)
+        for k in keys:
+            c = x.column(k).to_numpy()
+            last &= c == c[-1]
+        start = 0 if last.all() else rows - int(np.argmin(last[::-1]))
+        if start:
+            yield from cut(x.slice(0, start)).to_batches()
+        held, rows = x.slice(start).to_batches(), rows - start
+        need = max(CHUNK, 2 * rows)
+    if rows:
+        yield from cut(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+
+def _first(x: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Which rows begin a group."""
+    new = np.ones(x.num_rows, bool)
+    new[1:] = False
+    for k in keys:
+        c = x.column(k).to_numpy()
+        new[1:] |= c[1:] != c[:-1]
+    return new
+
+
+def _linear_units(b: np.ndarray, new: np.ndarray, strides: set[int], lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """Units (begin, size, stride) among the sorted positions of groups, whose first ones ``new`` marks.
+
+    Runs of equal gaps share an element with the next run, which has it if it is in no unit."""
+    gap = b[1:] - b[:-1]
+    if not len(gap):
+        return []
+    cross = new[1:]  # a gap to another group is a run of its own
+    change = np.ones(len(gap), bool)
+    change[1:] = (gap[1:] != gap[:-1]) | cross[1:] | cross[:-1]
+    at = np.flatnonzero(change)
+    size = np.diff(np.append(at, len(gap))) + 1
+    may = ~cross[at] & (size >= lo) & np.isin(gap[at], np.fromiter(strides, np.int64, len(strides)))
+    out, free = [], 0
+    for begin, left, stride in zip(at[may].tolist(), size[may].tolist(), gap[at[may]].tolist()):
+        used = max(begin, free)
+        left -= used - begin
+        while left >= lo:
+            take = min(left, hi)
+            out.append((used, take, stride))
+            used += take
+            left -= take
             free = used
-            at = used if used <= stop else stop + 1
-        else:
-            at = stop
     return out
 
 
-def _block_units(b: np.ndarray, sep: np.ndarray, align: int, dims: list[int], split: bool, hi: int) -> list[tuple[int, int, int]]:
+def _block_units(b: np.ndarray, new: np.ndarray, align: int, dims: list[int], split: bool, hi: int) -> list[tuple[int, int, int]]:
     """Units (begin, size, other dimension) from runs of consecutive positions, widest selected first."""
-    out, n, at = [], len(b), 0
     dims = sorted((d for d in dims if d >= 2 and d * align <= hi), reverse=True)
-    while at < n:
-        stop = at
-        while stop < n - 1 and b[stop + 1] == b[stop] + 1 and not sep[stop]:
-            stop += 1
-        begin = at + int((align - (b[at] - 1) % align) % align)
-        left = (stop + 1 - begin) // align
+    change = new.copy()
+    change[1:] |= b[1:] != b[:-1] + 1
+    at = np.flatnonzero(change)
+    skip = (align - (b[at] - 1) % align) % align
+    whole = (np.diff(np.append(at, len(b))) - skip) // align
+    may = whole >= 2
+    out = []
+    for begin, left in zip((at + skip)[may].astype(int).tolist(), whole[may].astype(int).tolist()):
         if split:
             for d in dims:
                 while left >= d:
@@ -82,64 +114,81 @@ def _block_units(b: np.ndarray, sep: np.ndarray, align: int, dims: list[int], sp
                 out.append((begin, d * align, d))
                 begin += d * align
                 left -= d
-        at = stop + 1
     return out
 
 
-def encode_type(singles: DataFrame, kind: str, insts: list[int], n: int, m: int, options: Options) -> tuple[DataFrame, DataFrame]:
-    """Units of one type and the elements left. ``singles`` is ``part, i, j, v`` without repeated coordinates."""
+def _sorted(t: DataFrame, most: int, *keys: str) -> DataFrame:
+    return spread(t, most, *keys[:-1]).sortWithinPartitions(*keys)
+
+
+def encode_type(singles: DataFrame, kind: str, insts: list[int], n: int, m: int, options: Options, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Units of one type and the elements left. ``singles`` is ``part, i, j, v`` without repeated
+    coordinates, of ``most`` rows at most; they are counted without it."""
     align = alignment(kind)
     t = transformed(singles, kind, n, m).select("part", "a", "b", "v")
     lo, hi, split = options.min_unit, options.max_unit, options.split_blocks
     wanted = set(insts)
 
-    def group(key, x):
-        x = x.sort_by("b")
-        b, v = x.column("b").to_numpy(), x.column("v").to_numpy()
-        none = np.zeros(len(b), bool)
-        if kind in LINEAR:
-            # runs of elements encoded before are gaps in b and part the stream by themselves
-            units = _linear_units(b, none, wanted, lo, hi)
-        else:
-            units = _block_units(b, none, align, sorted(wanted), split, hi)
-        owner = np.full(len(b), -1)
-        for k, (s, size, _) in enumerate(units):
-            owner[s : s + size] = k
-        rest = np.flatnonzero(owner < 0)
-        begin = [s for s, _, _ in units] + rest.tolist()
-        return pa.table(
-            {
-                "part": pa.array([key[0].as_py()] * len(begin), pa.int32()),
-                "a": pa.array([key[1].as_py()] * len(begin), pa.int64()),
-                "b": pa.array(b[begin], pa.int64()),
-                "inst": pa.array([d for _, _, d in units] + [0] * len(rest), pa.int64()),
-                "vals": pa.array([v[s : s + size] for s, size, _ in units] + [v[r : r + 1] for r in rest], pa.list_(pa.float64())),
-            }
-        )
-
-    done = t.groupBy("part", "a").applyInArrow(group, "part int, a long, b long, inst long, vals array<double>")
+    def cut(x):
+        b, new = x.column("b").to_numpy(), _first(x, ("part", "a"))
+        # runs of elements encoded before are gaps in b and part the stream by themselves
+        units = _linear_units(b, new, wanted, lo, hi) if kind in LINEAR else _block_units(b, new, align, sorted(wanted), split, hi)
+        s, size, inst = np.array(units, np.int64).reshape(-1, 3).T
+        inside = np.zeros(len(b) + 1, np.int64)
+        np.add.at(inside, s + 1, 1)
+        np.add.at(inside, s + size, -1)
+        begin = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+        insts_at, sizes = np.zeros((2, len(b)), np.int64)
+        insts_at[s], sizes[s] = inst, size
+        held = np.flatnonzero(np.repeat(sizes[begin] > 0, np.diff(np.append(begin, len(b)))))
+        ends = np.append(0, np.cumsum(sizes[begin]))
+        vals = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _flat(x, "v").take(pa.array(held)))
+        at = x.select(["part", "a", "b", "v"]).take(begin)
+        return at.append_column("inst", pa.array(insts_at[begin])).append_column("vals", vals)
+
+    done = _sorted(t, singles.count() if most is None else most, "part", "a", "b").mapInArrow(lambda batches: _groups(batches, ("part", "a"), cut), "part int, a long, b long, v double, inst long, vals array<double>")
     r, c = inverse(kind, F.col("a"), F.col("b"), n, m)
-    out = done.select("part", (r - 1).cast("long").alias("row"), (c - 1).cast("long").alias("col"), "inst", "vals")
+    out = _kept(done.select("part", (r - 1).cast("long").alias("row"), (c - 1).cast("long").alias("col"), "v", "inst", "vals"))
     units = out.where("inst > 0").select("part", "row", "col", F.lit(kind).alias("type"), "inst", F.size("vals").alias("size"), F.array().cast("array<int>").alias("deltas"), "vals")
-    return units, out.where("inst = 0").select("part", F.col("row").alias("i"), F.col("col").alias("j"), F.get("vals", F.lit(0)).alias("v"))
-
-
-def single_units(singles: DataFrame) -> DataFrame:
+    return units, out.where("inst = 0").select("part", F.col("row").alias("i"), F.col("col").alias("j"), "v")
+
+
+def _flat(x: pa.Table, name: str) -> pa.Array:
+    """A column in one piece."""
+    c = x.column(name)
+    return pa.concat_arrays(c.chunks) if c.num_chunks != 1 else c.chunk(0)
+
+
+def _row_units(x: pa.Table) -> pa.Table:
+    j, new = x.column("j").to_numpy(), _first(x, ("part", "i"))
+    n = len(j)
+    head = np.flatnonzero(new)
+    place = np.arange(n) - np.repeat(head, np.diff(np.append(head, n)))
+    first = place % MAX_SINGLE == 0
+    begin = np.flatnonzero(first)
+    size = np.diff(np.append(begin, n))
+    gap = np.zeros(n, np.int64)
+    gap[1:] = j[1:] - j[:-1]
+    gap[first] = 0
+    widest = np.maximum.reduceat(gap, begin)
+    inst = 8 * np.where(widest < 256, 1, np.where(widest < 65536, 2, np.where(widest < 2**32, 4, 8)))
+    deltas = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size - 1)), pa.int32()), pa.array(gap[~first]).cast(pa.int32()))
+    vals = pa.ListArray.from_arrays(pa.array(np.append(begin, n), pa.int32()), _flat(x, "v"))
+    at = x.select(["part", "i", "j"]).take(begin)
+    return pa.table([*at.columns, pa.array(inst, pa.int64()), pa.array(size, pa.int32()), deltas, vals], ["part", "row", "col", "inst", "size", "deltas", "vals"])
+
+
+def single_units(singles: DataFrame, most: int | None = None) -> DataFrame:
     """Elements of a row in units of at most 255 with their column gaps."""
-    w = W.partitionBy("part", "i").orderBy("j")
-    rows = singles.withColumn("k", F.row_number().over(w) - 1).withColumn("unit", F.floor(F.col("k") / MAX_SINGLE))
-    units = rows.groupBy("part", "i", "unit").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e"))
-    js = F.transform("e", lambda x: x["j"])
-    gaps = F.zip_with(F.slice(js, 2, MAX_SINGLE), js, lambda x, y: (x - y).cast("int"))
-    gaps = F.filter(gaps, lambda x: x.isNotNull())
-    widest = F.coalesce(F.array_max("deltas"), F.lit(0))
-    out = units.select("part", F.col("i").alias("row"), F.get(js, F.lit(0)).alias("col"), F.lit("none").alias("type"), F.size("e").alias("size"), gaps.alias("deltas"), F.transform("e", lambda x: x["v"]).alias("vals"))
-    return out.select("part", "row", "col", "type", (8 * mining.delta_bytes(widest)).cast("long").alias("inst"), "size", "deltas", "vals")
+    rows = _sorted(singles.select("part", "i", "j", "v"), singles.count() if most is None else most, "part", "i", "j")
+    out = rows.mapInArrow(lambda batches: _groups(batches, ("part", "i"), _row_units), "part int, row long, col long, inst long, size int, deltas array<int>, vals array<double>")
+    return out.select("part", "row", "col", F.lit("none").alias("type"), "inst", "size", "deltas", "vals")
 
 
 @dataclasses.dataclass(frozen=True)
 class TunedMatrix:
-    """Units of a matrix, the permutation of its rows and columns if it was reordered, its row parts."""
+    """Units of a matrix, the permutation of its rows and columns if it was reordered, its row parts,
+    a bound on its elements if known."""
 
     units: DataFrame
     nrows: int
@@ -147,6 +196,7 @@ class TunedMatrix:
     symmetric: bool = False
     perm: DataFrame | None = None
     parts: DataFrame | None = None
+    most: int | None = None
 
     @property
     def nnz(self) -> int:
@@ -154,7 +204,7 @@ class TunedMatrix:
 
 
 def _merged(a: Matrix) -> DataFrame:
-    return a.df.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    return a.df if a.distinct else spread(a.df, a.bound, "i", "j").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def tune(a: Matrix, options: Options | None = None, reorder: bool = False) -> TunedMatrix:
@@ -171,23 +221,22 @@ def tune(a: Matrix, options: Options | None = None, reorder: bool = False) -> Tu
     if reorder:
         perm = rcm(a)
         a = permuted(a, perm) if perm is not None else a
-    clean = dataclasses.replace(a, df=_merged(a))
+    clean = dataclasses.replace(a, df=_kept(_merged(a)), distinct=True)
     parts = balanced(clean, options.parts)
     singles = with_parts(clean, parts).select("part", "i", "j", "v")
-    singles = singles.checkpoint() if _has_checkpoint(singles) else singles.persist()
+    total = singles.count()
     explicit = {t: d for t, d in parse_types(options.types).items() if d}
     found = []
     if explicit:
         plan = list(explicit.items())
         for kind, insts in plan:
-            units, singles = _step(singles, kind, list(insts), a, options)
+            units, singles = encode_type(singles, kind, list(insts), a.nrows, a.ncols, options, total)
             found.append(units)
     else:
         open_ = mining.wanted_types(options)
-        total = singles.count()
         while open_:
             coords = singles.select("part", "i", "j")
-            rows = mining.all_stats(coords, a.nrows, a.ncols, options, open_).groupBy("type", "inst").agg(F.sum("nnz").alias("nnz"), F.sum("pat").alias("pat")).collect()  # by type and instance
+            rows = mining.all_stats(coords, a.nrows, a.ncols, options, open_, total).groupBy("type", "inst").agg(F.sum("nnz").alias("nnz"), F.sum("pat").alias("pat")).collect()  # by type and instance
             stats = {(r.type, r.inst): mining.Stat(r.nnz, r.pat) for r in rows}
             if options.split_blocks:
                 stats = mining.split_blocks(stats, total, options)
@@ -199,45 +248,62 @@ def tune(a: Matrix, options: Options | None = None, reorder: bool = False) -> Tu
             best = max((t for t in open_ if scores.get(t, 0) > 0), key=lambda t: (scores[t], -TYPE_ORDER[t]), default=None)
             if best is None:
                 break
-            units, singles = _step(singles, best, [i for k, i in stats if k == best], a, options)
+            units, singles = encode_type(singles, best, [i for k, i in stats if k == best], a.nrows, a.ncols, options, total)
             found.append(units)
             open_ = [t for t in open_ if t != best and scores.get(t, 0) > 0]
-    out = single_units(singles)
+    out = single_units(singles, total)
     for units in found:
         out = out.unionByName(units)
-    return TunedMatrix(out, a.nrows, a.ncols, a.symmetric, perm, parts)
+    return TunedMatrix(out, a.nrows, a.ncols, a.symmetric, perm, parts, total)
 
 
 def _has_checkpoint(df: DataFrame) -> bool:
     return df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined()
 
 
-def _step(singles, kind, insts, a, options):
-    units, left = encode_type(singles, kind, insts, a.nrows, a.ncols, options)
-    if _has_checkpoint(left):
-        return units.checkpoint(), left.checkpoint()
-    return units.persist(), left.persist()
+def _kept(df: DataFrame) -> DataFrame:
+    return df.checkpoint() if _has_checkpoint(df) else df.persist()
 
 
 def decode(units: DataFrame) -> DataFrame:
     """Elements ``i, j, v`` of units."""
-    x = units.select("row", "col", "type", "inst", "deltas", F.posexplode("vals").alias("k", "v"))
-    k, d, row, col = F.col("k"), F.col("inst"), F.col("row"), F.col("col")
-    align = F.when(F.col("type").rlike("^b[rc]"), F.substring("type", 3, 1).cast("int"))
-    r = F.when(F.col("type").isin("v", "d", "ad"), row + k * d).when(F.col("type").startswith("br"), row + k % align).when(F.col("type").startswith("bc"), row + F.floor(k / align)).otherwise(row)
-    c = (
-        F.when(F.col("type").isin("h", "d"), col + k * d)
-        .when(F.col("type") == "ad", col - k * d)
-        .when(F.col("type").startswith("br"), col + F.floor(k / align))
-        .when(F.col("type").startswith("bc"), col + k % align)
-        .when(F.col("type") == "none", col + F.aggregate(F.slice("deltas", F.lit(1), k), F.lit(0).cast("long"), lambda s, g: s + g))
-        .otherwise(col)
-    )
-    return x.select(r.cast("long").alias("i"), c.cast("long").alias("j"), "v")
+    return units.select("row", "col", "type", "inst", "deltas", "vals").mapInArrow(_elements, "i long, j long, v double")
+
+
+def _elements(batches):
+    for batch in batches:
+        size = pc.list_value_length(batch.column("vals")).to_numpy()
+        slot = np.cumsum(size) // CHUNK
+        edges = [0, *(np.flatnonzero(slot[1:] != slot[:-1]) + 1).tolist(), len(size)]
+        for s, e in zip(edges, edges[1:]):
+            yield _places(batch.slice(s, e - s), size[s:e])
+
+
+def _places(x: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+    """Elements of a few units: all steps from a unit's first element at once, type by type."""
+    row, col, d, kind = (x.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", "inst", "type"))
+    unit = np.repeat(np.arange(len(size)), size)
+    begin = np.cumsum(size) - size
+    k = np.arange(len(unit)) - begin[unit]
+    down, right = np.zeros(len(unit), np.int64), np.zeros(len(unit), np.int64)
+    for name in set(kind.tolist()):
+        at = np.flatnonzero((kind == name)[unit])
+        s, inst, align = k[at], d[unit[at]], alignment(name)
+        if name == "none":
+            gap = np.zeros(len(unit), np.int64)
+            gap[at[s > 0]] = pc.list_flatten(x.column("deltas").filter(pa.array(kind == name))).to_numpy()
+            walked = np.cumsum(gap)
+            right[at] = walked[at] - walked[begin[unit[at]]]
+        elif align:
+            down[at], right[at] = (s % align, s // align) if name.startswith("br") else (s // align, s % align)
+        else:
+            down[at] = 0 if name == "h" else s * inst
+            right[at] = 0 if name == "v" else s * inst * (-1 if name == "ad" else 1)
+    return pa.RecordBatch.from_arrays([pa.array(row[unit] + down), pa.array(col[unit] + right), pc.list_flatten(x.column("vals"))], ["i", "j", "v"])
 
 
 def to_matrix(t: TunedMatrix) -> Matrix:
-    return Matrix(decode(t.units), t.nrows, t.ncols, t.symmetric)
+    return Matrix(decode(t.units), t.nrows, t.ncols, t.symmetric, t.most, True)
 
 
 def multiply_units(alpha: float, t: TunedMatrix, x: DataFrame) -> DataFrame:
@@ -262,13 +328,18 @@ def varint_bytes(x):
 def compressed_size(t: TunedMatrix, value_bytes: int = 8) -> DataFrame:
     """``value_bytes, index_bytes``: values, and per unit two bytes of flags and size, a row jump
     if rows are skipped, the column as a varint against the unit before, and gaps in their width."""
-    w = W.partitionBy("part").orderBy("row", "col")
-    same = F.lag("row").over(w) == F.col("row")
-    jump = F.col("row") - F.coalesce(F.lag("row").over(w), F.lit(-1)) - 1
-    col = F.when(same, F.col("col") - F.lag("col").over(w)).otherwise(F.col("col"))
     gaps = F.when(F.col("type") == "none", F.size("deltas") * F.col("inst") / 8).otherwise(0)
-    ctl = F.lit(2) + F.when(jump > 0, varint_bytes(jump)).otherwise(0) + varint_bytes(F.greatest(col, F.lit(0))) + gaps
-    sized = t.units.withColumn("ctl", ctl).agg(F.sum("size").alias("n"), F.sum("ctl").cast("long").alias("index_bytes"))
+    units = t.units.select("part", "row", "col", "size", gaps.alias("gaps"))
+    units = spread(units, units.count() if t.most is None else t.most, "part", "row")
+    col = F.col("col") - F.coalesce(F.lag("col").over(W.partitionBy("part", "row").orderBy("col")), F.lit(0))
+    rows = units.withColumn("ctl", F.lit(2) + varint_bytes(F.greatest(col, F.lit(0))) + F.col("gaps")).groupBy("part", "row").agg(F.sum("size").alias("n"), F.sum("ctl").alias("ctl"))
+    # the row before is found within blocks of rows, that of a block's first row over blocks
+    rows = spread(rows.withColumn("b", F.floor(F.col("row") / 65536)), t.nrows, "part", "b")
+    jumped = lambda row, before: F.when(row - before > 1, varint_bytes(row - before - 1)).otherwise(0)
+    inner = F.lag("row").over(W.partitionBy("part", "b").orderBy("row"))
+    blocks = rows.withColumn("ctl", F.col("ctl") + jumped(F.col("row"), inner)).groupBy("part", "b").agg(F.min("row").alias("lo"), F.max("row").alias("hi"), F.sum("n").alias("n"), F.sum("ctl").alias("ctl"))
+    above = F.coalesce(F.lag("hi").over(W.partitionBy("part").orderBy("b")), F.lit(-1))  # a row per block
+    sized = blocks.withColumn("ctl", F.col("ctl") + jumped(F.col("lo"), above)).agg(F.sum("n").alias("n"), F.sum("ctl").cast("long").alias("index_bytes"))
     extra = t.nrows if t.symmetric else 0
     return sized.select(((F.col("n") + extra) * value_bytes).cast("long").alias("value_bytes"), "index_bytes")
 
@@ -286,4 +357,4 @@ def row_info(t: TunedMatrix) -> DataFrame:
     n = rows.join(t.units.groupBy("row").agg(F.sum("size").alias("n")), "row", "left").select("row", F.coalesce("n", F.lit(0)).alias("n"), F.floor(F.col("row") / 65536).alias("b"))
     before = n.groupBy("b").agg(F.sum("n").alias("t")).select("b", F.coalesce(F.sum("t").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     run = F.sum("n").over(W.partitionBy("b").orderBy("row").rowsBetween(W.unboundedPreceding, 0))
-    return n.withColumn("run", run).join(before, "b").select("row", (F.col("before") + F.col("run") - F.col("n")).cast("long").alias("first"))
+    return spread(n, t.nrows, "b").withColumn("run", run).join(before, "b").select("row", (F.col("before") + F.col("run") - F.col("n")).cast("long").alias("first"))

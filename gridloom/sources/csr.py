@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.errors import ArgumentError, fail
-from gridloom.model import Matrix, matrix
+from gridloom.model import Matrix, matrix, spread
 
 
 def load_csr(spark: SparkSession, rowptr, colind, values, nrows: int, ncols: int, base: int = 0) -> Matrix:
@@ -40,7 +40,7 @@ def row_pointers(a: Matrix) -> DataFrame:
     over = W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)
     before = blocked.groupBy("b").agg(F.sum("n").alias("t")).select("b", F.coalesce(F.sum("t").over(over), F.lit(0)).alias("before"))
     run = F.sum("n").over(W.partitionBy("b").orderBy("i").rowsBetween(W.unboundedPreceding, 0))
-    return blocked.withColumn("run", run).join(before, "b").select("i", "n", (F.col("before") + F.col("run")).alias("stop"))
+    return spread(blocked, a.nrows, "b").withColumn("run", run).join(before, "b").select("i", "n", (F.col("before") + F.col("run")).alias("stop"))
 
 
 def to_csr(a: Matrix) -> tuple[DataFrame, DataFrame]:

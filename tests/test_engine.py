@@ -144,6 +144,64 @@ def test_mining_tasks_stay_small(spark, monkeypatch, name):
     assert _fewest(df, "a") >= 12 and _fewest(df, "l_suppkey") >= 12  # 6,000 line items; the session has 4 partitions
 
 
+def test_encoding_tasks_stay_small(spark, monkeypatch):
+    monkeypatch.setattr(model, "ROWS_A_TASK", 15, raising=False)
+    e = blocky()
+    t = encode.tune(make(spark, e, 12, 15), Options(sampling="none", types="h", min_coverage=0.01))
+    n = -(-len(e) // 15)
+    assert n > 4 and t.units.rdd.getNumPartitions() >= 2 * n and _fewest(encode.compressed_size(t), "row") >= n
+
+
+def test_compressed_size_over_blocks_of_rows(spark):
+    e = blocky() + [(2, 70000 + j, 1.0) for j in range(300)] + [(140000 + 3 * i, 7 + i, 2.0) for i in range(40)]
+    t = encode.tune(make(spark, e, 150000, 80000), Options(sampling="none", types="h", parts=2, min_coverage=0.01))
+    assert dense(encode.decode(t.units)) == pytest.approx({(i, j): v for i, j, v in e})
+    sized = encode.compressed_size(t)
+    bytes_, last = 0, {}
+    size = lambda x: next(k for k in (1, 2, 3, 4) if x < 1 << 7 * k)
+    for u in sorted(t.units.collect(), key=lambda u: (u.part, u.row, u.col)):
+        row, col = last.get(u.part, (-1, 0))
+        bytes_ += 2 + (size(u.row - row - 1) if u.row > row + 1 else 0) + size(u.col - col if u.row == row else u.col) + (len(u.deltas) * u.inst // 8 if u.type == "none" else 0)
+        last[u.part] = u.row, u.col
+    assert tuple(sized.first()) == (8 * len(e), bytes_)
+
+
+def _one_after_another(b, strides, lo, hi):
+    """The rule for units of one group."""
+    out, at = [], 0
+    while at < len(b) - 1:
+        stride, stop = b[at + 1] - b[at], at + 1
+        while stop < len(b) - 1 and b[stop + 1] - b[stop] == stride:
+            stop += 1
+        used, size = at, stop - at + 1
+        while stride in strides and size >= lo:
+            out.append((used, min(size, hi), stride))
+            used += min(size, hi)
+            size -= min(size, hi)
+        at = used if used > at else stop
+    return out
+
+
+@pytest.mark.parametrize("lo,hi", [(4, 255), (3, 5), (2, 4)])
+def test_many_groups_are_cut_in_one_call(monkeypatch, lo, hi):
+    import pyarrow as pa
+
+    rng = random.Random(hi)
+    groups = [sorted(rng.sample(range(1, 60), rng.randrange(1, 45))) for _ in range(500)]
+    x = pa.table({"part": [0 for bs in groups for _ in bs], "a": [a for a, bs in enumerate(groups) for _ in bs], "b": [b for bs in groups for b in bs]})
+    got, calls = [], []
+
+    def cut(t):
+        calls.append(t.num_rows)
+        got.extend((t.column("a")[s].as_py(), t.column("b")[s].as_py(), size, d) for s, size, d in encode._linear_units(t.column("b").to_numpy(), encode._first(t, ("part", "a")), {1, 2, 3}, lo, hi))
+        return t
+
+    monkeypatch.setattr(encode, "CHUNK", 1000)
+    assert sum(b.num_rows for b in encode._groups(x.to_batches(max_chunksize=70), ("part", "a"), cut)) == x.num_rows
+    assert got == [(a, bs[s], size, d) for a, bs in enumerate(groups) for s, size, d in _one_after_another(bs, {1, 2, 3}, lo, hi)]
+    assert len(calls) < 20
+
+
 @pytest.mark.parametrize(
     "options",
     [
