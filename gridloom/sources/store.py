@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from gridloom.model import ROWS_A_TASK
 from gridloom.plans.encode import TunedMatrix
 
 
 def save(t: TunedMatrix, path: str) -> None:
     spark = t.units.sparkSession
-    t.units.repartitionByRange("part", "row").sortWithinPartitions("part", "row", "col").write.parquet(f"{path}/units")
+    enough = [] if t.most is None else [max(1, -(-t.most // ROWS_A_TASK))]
+    t.units.repartitionByRange(*enough, "part", "row").sortWithinPartitions("part", "row", "col").write.parquet(f"{path}/units")
     spark.createDataFrame([(t.nrows, t.ncols, t.symmetric, t.perm is not None, t.parts is not None)], "nrows long, ncols long, symmetric boolean, permuted boolean, parted boolean").coalesce(1).write.parquet(f"{path}/meta")
     if t.perm is not None:
         t.perm.write.parquet(f"{path}/perm")
