@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import DimensionError, fail
-from gridloom.model import Matrix
+from gridloom.model import Matrix, spread
 
 #: Vectors of up to this many entries (16 bytes each) are broadcast; longer ones are shuffled by column.
 BROADCAST_ENTRIES = 2_000_000
@@ -17,9 +17,12 @@ def _check(a: Matrix, x_size: int | None, y_size: int | None) -> None:
         fail(DimensionError(f"{a.nrows} x {a.ncols} by {x_size} into {y_size}"))
 
 
-def _sums(entries: DataFrame, x: DataFrame, ncols: int) -> DataFrame:
+def _sums(entries: DataFrame, x: DataFrame, ncols: int, most: int | None = None) -> DataFrame:
     xs = x.select(F.col("i").alias("j"), F.col("v").alias("x"))
-    xs = F.broadcast(xs) if ncols <= BROADCAST_ENTRIES else xs
+    if ncols <= BROADCAST_ENTRIES:
+        xs = F.broadcast(xs)
+    elif most is not None:
+        entries = spread(entries, most, "j")
     return entries.join(xs, "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("s"))
 
 
@@ -51,7 +54,7 @@ def multiply(alpha: float, a: Matrix, x: DataFrame, x_size: int | None = None) -
 def kernel(alpha: float, a: Matrix, x: DataFrame, beta: float, y: DataFrame | None, x_size: int | None = None, y_size: int | None = None) -> DataFrame:
     """``alpha*A*x + beta*y``. All rows are scaled by ``beta``, empty ones too."""
     _check(a, x_size, y_size)
-    s = _sums(_entries(a), x, a.ncols)
+    s = _sums(_entries(a), x, a.ncols, a.most)
     rows = a.df.sparkSession.range(a.nrows).withColumnRenamed("id", "i")
     ax = F.lit(float(alpha)) * F.coalesce("s", F.lit(0.0))
     out = rows.join(s, "i", "left")
