@@ -152,6 +152,18 @@ def test_encoding_tasks_stay_small(spark, monkeypatch):
     assert n > 4 and t.units.rdd.getNumPartitions() >= 2 * n and _fewest(encode.compressed_size(t), "row") >= n
 
 
+def test_saved_and_multiplied_units_are_spread(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(store, "ROWS_A_TASK", 15, raising=False)
+    monkeypatch.setattr(model, "ROWS_A_TASK", 15, raising=False)
+    monkeypatch.setattr(products, "BROADCAST_ENTRIES", 1)
+    t = encode.tune(make(spark, blocky(), 12, 15), Options(sampling="none", types="d{1}"))
+    store.save(t, str(tmp_path / "m"))
+    n = -(-len(blocky()) // 15)
+    assert n > 4 and len(list((tmp_path / "m" / "units").glob("*.parquet"))) > 4
+    y = encode.multiply_units(0.5, t, vectors.from_buffer(spark, range(15)))
+    assert _fewest(y, "j") >= n and as_list(y) == pytest.approx([0.5 * v for v in product(blocky(), 12, list(range(15)))])
+
+
 def test_compressed_size_over_blocks_of_rows(spark):
     e = blocky() + [(2, 70000 + j, 1.0) for j in range(300)] + [(140000 + 3 * i, 7 + i, 2.0) for i in range(40)]
     t = encode.tune(make(spark, e, 150000, 80000), Options(sampling="none", types="h", parts=2, min_coverage=0.01))
